@@ -103,3 +103,21 @@ def prefix_of(df: DataFrame, keys: list, order: list, value: str, name: str) ->
 
     over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(over), F.lit(0)).cast("long"))
+
+
+def identified(scratch: Scratch, docs: DataFrame, name: str = "__row") -> DataFrame:
+    """``docs`` with a row number that is the same on every reading.
+
+    Rows of a plain file scan are numbered as they are read; anything else is written out first, as its
+    rows may come in another order when a lost partition is computed again.
+    """
+    nodes = set(_plan_nodes(docs._jdf.queryExecution().optimizedPlan()))
+    steady = docs if nodes <= {"LogicalRelation", "Project", "Filter"} else scratch.keep(docs)
+    return steady.withColumn(name, F.monotonically_increasing_id())
+
+
+def _plan_nodes(plan):
+    yield plan.nodeName().split(" ")[0]
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _plan_nodes(children.apply(i))

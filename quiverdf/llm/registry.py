@@ -1,6 +1,7 @@
 """The queries that this package registers, and the SQL of those that SQL can express."""
 
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
-ORACLES = {"op1_exact_dedup": OP1_SQL}
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_mix_sources": op7_mix_sources}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
