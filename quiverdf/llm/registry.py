@@ -2,6 +2,11 @@
 
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
+from quiverdf.llm.sharding import op2_balanced_shards
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_mix_sources": op7_mix_sources}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_balanced_shards": op2_balanced_shards,
+    "op7_mix_sources": op7_mix_sources,
+}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}

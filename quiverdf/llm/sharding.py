@@ -12,9 +12,7 @@ as fit. Null texts count as empty; rows that repeat an id are separate; empty ta
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiverdf.llm._shared import Scratch, identified, text_of, utf8_bytes, with_rank
@@ -22,6 +20,8 @@ from quiverdf.llm._shared import Scratch, identified, text_of, utf8_bytes, with_
 SHARDS, TURNS = 40, 8
 #: A group's share of a shard at most, so that the rest of the shard can make room.
 GROUP_SHARE = 0.5
+#: Groups that are held apart, and broadcast, for having at least one in so many of all rows.
+MOST_LARGE = 10_000
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
 
@@ -49,12 +49,14 @@ def balanced_shards(
     state = scratch.keep(ranked.withColumn("shard", (F.col("rank") % shards).cast("int")).drop("rank"))
     quota = max(1, int(state.count() / shards * GROUP_SHARE))
     # Only groups of two or more take part; their rows are the graph's, the others make room.
-    sizes = state.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = scratch.keep(state.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    large = F.col("members") > max(1_000, state.count() // MOST_LARGE)
+    some, rest = sizes.where(large), sizes.where(~large)
     parts = F.ceil(F.col("members") / quota)
     linked = scratch.keep(
-        state.join(sizes, "grp").select(
-            "__row", "key", "shard", F.xxhash64("grp", F.pmod("key", parts)).alias("hub")
-        )
+        state.join(F.broadcast(some), "grp")  # at most MOST_LARGE groups are so large
+        .unionByName(state.join(F.broadcast(some), "grp", "left_anti").join(rest, "grp"))
+        .select("__row", "key", "shard", F.xxhash64("grp", F.pmod("key", parts)).alias("hub"))
     )
     free = scratch.keep(state.join(linked.select("__row"), "__row", "left_anti").select("__row", "key", "shard"))
     for _ in range(turns):
@@ -67,15 +69,15 @@ def balanced_shards(
         free.select("__row", "shard", F.lit(False).alias("linked"))
     )
     done = scratch.keep(state.drop("shard").join(labels, "__row"))
-    return with_slots(scratch, done, "shard", ["key", "__row"])
+    return rank_in(scratch, done, ["shard"], ["key", "__row"], "slot")
 
 
-def with_slots(scratch: Scratch, rows: DataFrame, shard: str, order: list) -> DataFrame:
-    """Add ``slot``: gapless from 0 in each shard, ranked without one task seeing a whole shard."""
-    ranked = with_rank(scratch, rows, [shard, *order], "__rank")
-    starts = ranked.groupBy(shard).agg(F.min("__rank").alias("__start"))
-    return ranked.join(F.broadcast(starts), shard).withColumn(  # one row for each shard
-        "slot", F.col("__rank") - F.col("__start")
+def rank_in(scratch: Scratch, rows: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """Add a rank, gapless from 0, in each of few groups, without one task seeing a whole group."""
+    ranked = with_rank(scratch, rows, [*groups, *order], "__rank")
+    starts = ranked.groupBy(*groups).agg(F.min("__rank").alias("__start"))
+    return ranked.join(F.broadcast(starts), groups).withColumn(  # a row for each (pair of) shards
+        name, F.col("__rank") - F.col("__start")
     ).drop("__rank", "__start")
 
 
@@ -106,11 +108,10 @@ def _one_turn(scratch: Scratch, linked: DataFrame, free: DataFrame, shards: int)
         return None
     spark = linked.sparkSession
     allowed = spark.createDataFrame([(*k, v) for k, v in moves.items()], "shard int, to int, allowed long")
-    order = Window.partitionBy("shard", "to").orderBy("here", "key", "__row")
     movers = (
-        wanting.withColumn("r", F.row_number().over(order))
+        rank_in(scratch, wanting, ["shard", "to"], ["here", "key", "__row"], "r")
         .join(F.broadcast(allowed), ["shard", "to"])  # a row for each pair of shards
-        .where("r <= allowed")
+        .where("r < allowed")
         .select("__row", "to")
     )
     linked = scratch.keep(
@@ -125,12 +126,10 @@ def _one_turn(scratch: Scratch, linked: DataFrame, free: DataFrame, shards: int)
             spans.append((b, a, cut.get(b, 0), cut.get(b, 0) + n))
             cut[b] = cut.get(b, 0) + n
         spans = spark.createDataFrame(spans, "shard int, to int, low long, high long")
-        most = reduce(lambda x, y: x | y, ((F.col("shard") == b) & (F.col("r") <= n) for b, n in cut.items()))
         leaving = (
-            free.withColumn("r", F.row_number().over(Window.partitionBy("shard").orderBy("key", "__row")))
-            .where(most)
+            rank_in(scratch, free.where(F.col("shard").isin(*cut)), ["shard"], ["key", "__row"], "r")
             .join(F.broadcast(spans), "shard")  # a row for each pair of shards
-            .where("r > low AND r <= high")
+            .where("r >= low AND r < high")
             .select("__row", "to")
         )
         free = scratch.keep(
