@@ -1,5 +1,6 @@
 """The queries that this package registers, and the SQL of those that SQL can express."""
 
+from quiverdf.llm.chat import OP4_SQL, op4_format_chats
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
 from quiverdf.llm.sharding import op2_balanced_shards
@@ -7,6 +8,7 @@ from quiverdf.llm.sharding import op2_balanced_shards
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_balanced_shards": op2_balanced_shards,
+    "op4_format_chats": op4_format_chats,
     "op7_mix_sources": op7_mix_sources,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_format_chats": OP4_SQL, "op7_mix_sources": OP7_SQL}
