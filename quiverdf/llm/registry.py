@@ -3,12 +3,14 @@
 from quiverdf.llm.chat import OP4_SQL, op4_format_chats
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
+from quiverdf.llm.secrets import op3_secret_scan
 from quiverdf.llm.sharding import op2_balanced_shards
 from quiverdf.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_balanced_shards": op2_balanced_shards,
+    "op3_secret_scan": op3_secret_scan,
     "op4_format_chats": op4_format_chats,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
