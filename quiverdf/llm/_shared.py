@@ -121,3 +121,44 @@ def _plan_nodes(plan):
     children = plan.children()
     for i in range(children.size()):
         yield from _plan_nodes(children.apply(i))
+
+
+#: Groups with at least one in so many of all rows are few: at most this many.
+MOST_LARGE = 10_000
+
+
+def join_counted(big: DataFrame, groups: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """Inner join of rows to their groups (one row a group, ``count`` its size), whatever their sizes.
+
+    The large groups, at most MOST_LARGE, are broadcast; so no task gathers the rows of one.
+    """
+    large = F.col(count) > max(1_000, rows // MOST_LARGE)
+    some, rest = F.broadcast(groups.where(large)), groups.where(~large)
+    return big.join(some, key).unionByName(big.join(some.select(key), key, "left_anti").join(rest, key))
+
+
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of ``edges`` (a, b): label is the smallest node of its component.
+
+    Each turn takes the least label over the neighbours and then jumps to the label's own label, so that
+    turns grow with the logarithm of a component's diameter; labels are written out after each.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = scratch.keep(both.where("a <> b").distinct())
+    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
+        lower = labels.join(near, labels["node"] == near["a"]).select(
+            "node", "label", F.least("label", "low").alias("low")
+        )
+        lower = scratch.keep(lower)
+        own = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        jumped = scratch.keep(
+            lower.join(own, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved"))
+        )
+        done = jumped.where("moved").isEmpty()
+        scratch.free(lower, labels)
+        labels = jumped
+        if done:
+            scratch.free(both)
+            return labels.select("node", "label")

@@ -2,6 +2,7 @@
 
 from quiverdf.llm.chat import OP4_SQL, op4_format_chats
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from quiverdf.llm.jaccard import op9_jaccard_join
 from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
 from quiverdf.llm.secrets import op3_secret_scan
 from quiverdf.llm.sharding import op2_balanced_shards
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_format_chats": op4_format_chats,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_format_chats": OP4_SQL, "op7_mix_sources": OP7_SQL}
