@@ -71,7 +71,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text: runs of digits, ASCII letters (lower-cased) and all that is not ASCII."""
-    return F.filter(F.split(ascii_lower(text), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
 
 
 def utf8_bytes(text: Column) -> Column:
@@ -123,6 +123,15 @@ def _plan_nodes(plan):
         yield from _plan_nodes(children.apply(i))
 
 
+#: Rows that a table may have, counted, to be broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (a written table of narrow rows), to be broadcast if it has at most ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 #: Groups with at least one in so many of all rows are few: at most this many.
 MOST_LARGE = 10_000
 

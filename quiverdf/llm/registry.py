@@ -1,6 +1,7 @@
 """The queries that this package registers, and the SQL of those that SQL can express."""
 
 from quiverdf.llm.chat import OP4_SQL, op4_format_chats
+from quiverdf.llm.decontamination import OP5_SQL, op5_decontamination
 from quiverdf.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from quiverdf.llm.jaccard import op9_jaccard_join
 from quiverdf.llm.mixing import OP7_SQL, op7_mix_sources
@@ -13,8 +14,14 @@ QUERIES = {
     "op2_balanced_shards": op2_balanced_shards,
     "op3_secret_scan": op3_secret_scan,
     "op4_format_chats": op4_format_chats,
+    "op5_decontamination": op5_decontamination,
     "op7_mix_sources": op7_mix_sources,
     "op8_toxicity": op8_toxicity,
     "op9_jaccard_join": op9_jaccard_join,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op4_format_chats": OP4_SQL, "op7_mix_sources": OP7_SQL}
+ORACLES = {
+    "op1_exact_dedup": OP1_SQL,
+    "op4_format_chats": OP4_SQL,
+    "op5_decontamination": OP5_SQL,
+    "op7_mix_sources": OP7_SQL,
+}
