@@ -29,22 +29,23 @@ OVERHEAD = 16
 def _prepared(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, group_col: str | None) -> DataFrame:
     text = text_of(text_col)
     group = F.col(group_col).cast("string") if group_col else F.sha2(text, 256)
-    rows = identified(scratch, docs).select(
+    rows = docs.select(
         "__row", F.col(id_col).alias("doc_id"), (utf8_bytes(text) + OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(group)).alias("grp"),
-        F.xxhash64(F.lit("shard"), F.col(id_col), F.monotonically_increasing_id()).alias("key"),
+        F.xxhash64(F.lit("shard"), F.col(id_col), F.col("__row")).alias("key"),
     )
     return scratch.keep(rows)
 
 
 def balanced_shards(
     docs: DataFrame, shards: int = SHARDS, turns: int = TURNS, id_col: str = "doc_id", text_col: str = "text",
-    group_col: str | None = None,
+    group_col: str | None = None, row_col: str | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: __row, doc_id, size, text_crc32, shard, slot, and of the method
     linked (it has a group of two or more)."""
     scratch = Scratch(docs.sparkSession)
-    rows = _prepared(scratch, docs, id_col, text_col, group_col)
+    rows = docs.withColumn("__row", F.col(row_col)) if row_col else identified(scratch, docs)
+    rows = _prepared(scratch, rows, id_col, text_col, group_col)
     ranked = with_rank(scratch, rows, ["key", "__row"], "rank")
     state = scratch.keep(ranked.withColumn("shard", (F.col("rank") % shards).cast("int")).drop("rank"))
     quota = max(1, int(state.count() / shards * GROUP_SHARE))
@@ -140,6 +141,14 @@ def _one_turn(scratch: Scratch, linked: DataFrame, free: DataFrame, shards: int)
     return linked, free
 
 
+def sharded_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with columns ``shard`` and ``slot``, replacing any of those names."""
+    scratch = Scratch(docs.sparkSession)
+    numbered = identified(scratch, docs.drop("shard", "slot"))
+    placed = balanced_shards(numbered, row_col="__row", **options).select("__row", "shard", "slot")
+    return numbered.join(placed, "__row").drop("__row")
+
+
 def op2_balanced_shards(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return balanced_shards(docs).select(
