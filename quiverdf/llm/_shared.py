@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage so that lost executors cost no recomputation.
 
@@ -48,7 +51,12 @@ class Scratch:
             fs.mkdirs(where)
             fs.deleteOnExit(where)
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:6]}"
-        df.write.partitionBy(*partition_by).parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")  # what is written needs its shuffle files no more
+        try:
+            df.write.partitionBy(*partition_by).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._held = [*getattr(self, "_held", []), out]
