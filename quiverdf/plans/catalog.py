@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quiverdf.plans import vectors  # noqa: F401  (registers its queries)
+from quiverdf.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-
+"""Streams of queries against tables of vectors."""
