@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverdf.functions.vectors import doubles, literal, soar_distance, squared_distance
+from quiverdf.operators.lineage import cut_lineage
 from quiverdf.operators.sampling import reservoir, stratified
 
 #: Numbers that a set of centres may have to be sent to every task (256 MB of doubles).
@@ -317,6 +318,19 @@ def kmeans_local(points: DataFrame, c: np.ndarray, m: int = 128, iterations: int
     return c, spill(last, c, weight, near)
 
 
+def _splitter(split: dict[int, int], per_centre: int, iterations: int, seed: int):
+    """A function that fits as many children as ``split`` says to a sample of one cluster."""
+
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(g.sort_values("vec_id")["embedding"].to_list())[: per_centre * split[key[0]]]
+        start = np.unique(x, axis=0)
+        start = start[np.random.default_rng(seed).permutation(len(start))[: split[key[0]]]]
+        c = local_lloyd(x, start, 2 * iterations)[0]
+        return pd.DataFrame({"cluster": int(key[0]), "child": range(len(c)), "centre": list(c)})
+
+    return fit
+
+
 def hierarchical(points: DataFrame, target: int = 512, most: int = 128, iterations: int = 6, per_centre: int = 256, seed: int = 0, levels: int = 16) -> tuple[np.ndarray, DataFrame]:
     """(centres, assigned): clusters above 1.34 times ``target`` are split again, level by level.
 
@@ -327,7 +341,7 @@ def hierarchical(points: DataFrame, target: int = 512, most: int = 128, iteratio
     centres = {0: None}
     settled: set[int] = set()
     for _ in range(levels):
-        state = state.checkpoint() if state.sparkSession.conf.get("spark.checkpoint.dir", None) else state.persist()
+        state = cut_lineage(state)
         sizes = {r["cluster"]: r["count"] for r in state.groupBy("cluster").count().collect()}  # one row a cluster
         split = {k: min(most, max(2, round(n / target))) for k, n in sizes.items() if 100 * n > 134 * target and k not in settled}
         if not split:
@@ -335,17 +349,8 @@ def hierarchical(points: DataFrame, target: int = 512, most: int = 128, iteratio
         wanted = state.where(F.col("cluster").isin(list(split)))
         sample = stratified(wanted, per_centre * max(split.values()), "cluster", seed)
 
-        def fit(key, g: pd.DataFrame, split=split, seed=seed) -> pd.DataFrame:
-            x = np.stack(g.sort_values("vec_id")["embedding"].to_list())
-            x = x[: per_centre * split[key[0]]]
-            start = np.unique(x, axis=0)
-            rng = np.random.default_rng(seed)
-            start = start[rng.permutation(len(start))[: split[key[0]]]]
-            c = local_lloyd(x, start, 2 * iterations)[0]
-            return pd.DataFrame({"cluster": int(key[0]), "child": range(len(c)), "centre": list(c)})
-
         children: dict[int, list] = {}
-        for r in sample.groupBy("cluster").applyInPandas(fit, "cluster int, child int, centre array<double>").collect():
+        for r in sample.groupBy("cluster").applyInPandas(_splitter(split, per_centre, iterations, seed), "cluster int, child int, centre array<double>").collect():
             children.setdefault(r["cluster"], []).append((r["child"], r["centre"]))
         names: dict[int, np.ndarray] = {}
         fresh = max(centres) + 1

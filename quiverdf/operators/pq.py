@@ -15,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverdf.functions.vectors import dot, doubles, literal, squared_norm
-from quiverdf.operators.kmeans import assign, coarse_clusters, collect_centres, forgy, local_lloyd, lloyd_step, plus_plus, sendable, squared_distances
+from quiverdf.functions.vectors import doubles, literal, squared_norm
+from quiverdf.operators.kmeans import assign, coarse_clusters, forgy, local_lloyd, lloyd_step, plus_plus, sendable, squared_distances
 from quiverdf.operators.sampling import stratified
 
 #: Published defaults: books, centres of each, steps to build and to refresh, restarts, sample for the restarts.
@@ -170,7 +170,7 @@ def fit_pq(docs: DataFrame, metric: str = "cosine", books: int = BOOKS, size: in
     most = max(PCA_POINTS * d, BOOK_POINTS * size)
     sample = stratified(assign(docs, c).select("vec_id", "embedding", "cluster"), most, "cluster", seed)
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         k = int(key[0])
         x = np.stack(g.sort_values("vec_id")["embedding"].to_list()) - c[k]
         turn = old.rotations[k] if old is not None else balanced_subspaces(*pca(x[: PCA_POINTS * d]), books)
@@ -273,16 +273,10 @@ def merge_models(docs: DataFrame, a: PqModel, b: PqModel, per_cluster: int, seed
 def encode_expr(residual: Column, book: np.ndarray) -> Column:
     """Codes of a vector under one set of codebooks (books, size, width): no Python."""
     width = book.shape[2]
-    codes = []
-    for b in range(len(book)):
-        part = F.slice(residual, b * width + 1, width)
-        each = F.transform(F.array(*[literal(c) for c in book[b]]), lambda c, i, p=part: F.struct(squared_norm(F.zip_with(p, c, lambda x, y: x - y)).alias("d"), i.cast("int").alias("code")))
-        codes.append(F.array_min(each)["code"])
-    return F.array(*codes)
-
-
-def centres_table(model: PqModel, spark) -> DataFrame:
-    return model_tables(spark, model)["clusters"].select("cluster", "centre")
 
+    def code(b: int) -> Column:
+        part = F.slice(residual, b * width + 1, width)
+        each = F.transform(F.array(*[literal(c) for c in book[b]]), lambda c, i: F.struct(squared_norm(F.zip_with(part, c, lambda x, y: x - y)).alias("d"), i.cast("int").alias("code")))
+        return F.array_min(each)["code"]
 
-__all__ = ["PqModel", "collect_centres", "decode", "dot", "encode", "fit_pq", "search"]
+    return F.array(*map(code, range(len(book))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quiverdf.plans import vectors  # noqa: F401  (registers its queries)
+from quiverdf.plans import cluster, quantise, vectors  # noqa: F401  (these register their queries)
 from quiverdf.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
