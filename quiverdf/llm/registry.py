@@ -27,7 +27,6 @@ ORACLES = {
     "op1_exact_dedup": OP1_SQL,
     "op4_format_chats": OP4_SQL,
     "op5_decontamination": OP5_SQL,
-    "op6_repeated_passages": op6_repeated_passages,
     "op7_mix_sources": OP7_SQL,
     "op10_licence_scan": OP10_SQL,
 }
