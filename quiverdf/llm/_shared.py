@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows that Python workers get at once; rows here are texts, so Spark's default of 10000 holds much memory.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean_batches(spark: SparkSession) -> None:
+    """Let Python workers take fewer rows at once, where the session leaves that at Spark's default."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -35,6 +46,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        lean_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quiverdf-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}

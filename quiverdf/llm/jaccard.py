@@ -28,6 +28,8 @@ from quiverdf.llm._shared import Scratch, components, identified, join_counted,
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 #: Members that a block of a large bucket has; two blocks are in memory at once.
 BLOCK = 1_024
+#: Words whose codes a worker remembers at most.
+KNOWN = 65_536
 _known: dict[str, int] = {}
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -42,7 +44,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
 
 def word_codes(text: str) -> np.ndarray:
     words = text.lower().split()
-    if len(_known) > 500_000:
+    if len(_known) > KNOWN:
         _known.clear()
     out = []
     for w in words:
@@ -165,6 +167,7 @@ def near_duplicates(
     )
     visits = _visits(scratch, sets, block)
     found = scratch.keep(_verified(rows, visits, n, threshold))
+    scratch.free(visits)
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     groups = sets.select("grams", "copies", "node", "first").join(linked, "node", "left").join(labels, "node", "left")
@@ -176,6 +179,7 @@ def near_duplicates(
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         )
     )
+    scratch.free(sets, found)
     out = join_counted(signed.select("__row", "doc_id", "grams"), groups, "grams", "copies", signed.count())
     return out.select("__row", "doc_id", "class_id", "n_links", (F.col("__row") == F.col("keeper")).alias("kept"))
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiverdf.llm._shared import lean_batches
+
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as a power of two, from which a value counts as a secret.
 LEAST_BITS = 42.0
@@ -195,6 +197,7 @@ def scan_column(least_bits: float = LEAST_BITS):
 
 def find_secrets(docs: DataFrame, text_col: str = "text", least_bits: float = LEAST_BITS) -> DataFrame:
     """``docs`` with a column ``secret_spans``: all spans of each whole text."""
+    lean_batches(docs.sparkSession)
     return docs.withColumn("secret_spans", scan_column(least_bits)(F.col(text_col).cast("string")))
 
 

@@ -32,7 +32,8 @@ def _prepared(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, gro
     rows = docs.select(
         "__row", F.col(id_col).alias("doc_id"), (utf8_bytes(text) + OVERHEAD).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(group)).alias("grp"),
-        F.xxhash64(F.lit("shard"), F.col(id_col), F.col("__row")).alias("key"),
+        # By id, so that shards do not depend on how the files are split; rows without one by their number.
+        F.xxhash64(F.lit("shard"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), "__row"))).alias("key"),
     )
     return scratch.keep(rows)
 

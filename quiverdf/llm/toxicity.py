@@ -29,6 +29,8 @@ ALPHA, BETA, L2 = 2.0, 1.0, 1.0
 L1_TRIED = (0.5, 1.0, 2.0, 4.0, 8.0)
 FOLDS = 5
 _WORD = re.compile(r"\w+")
+#: Words whose codes a worker remembers at most.
+KNOWN = 65_536
 _known: dict[str, int] = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +38,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 def word_codes(text: str | None) -> np.ndarray:
     """A 32-bit code for each word, lower-cased."""
     words = _WORD.findall(text.lower()) if text else []
-    if len(_known) > 500_000:
+    if len(_known) > KNOWN:
         _known.clear()
     out = np.empty(len(words), np.uint64)
     for i, w in enumerate(words):
