@@ -53,8 +53,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if i:
+            scratch.free(before)
     return docs
 
 
