@@ -168,7 +168,7 @@ def kmeans_split_largest(spark, folder):
 @query(", p AS (SELECT label AS parent, vec_id % 3 AS child FROM e) SELECT parent, child, dense_rank() OVER (ORDER BY parent, child) - 1 AS cluster, count(*) AS n FROM p GROUP BY parent, child")
 def kmeans_rekeyed_splits(spark, folder):
     p = unit(spark, folder).select(F.col("label").alias("parent"), (F.col("vec_id") % 3).alias("child"))
-    return M.rekey_splits(p).groupBy("parent", "child", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    return M.rekey_splits(p).groupBy("parent", "child", F.col("cluster").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -251,7 +251,8 @@ def results_of_family(spark, folder):
 
 @query("SELECT m, ef, k FROM (VALUES (8), (16), (32)) a(m), (VALUES (50), (100)) b(ef), (VALUES (10), (20)) c(k)")
 def parameter_grid(spark, folder):
-    return E.parameter_grid(spark, m=[8, 16, 32], ef=[50, 100], k=[10, 20])
+    grid = E.parameter_grid(spark, m=[8, 16, 32], ef=[50, 100], k=[10, 20])
+    return grid.select(*[F.col(c).cast("int").alias(c) for c in grid.columns])
 
 
 @query(", h AS (SELECT CASE WHEN v[1] < -0.5 THEN 0 WHEN v[1] >= 0.5 THEN 21 ELSE floor((v[1] + 0.5) / 1.0 * 20) + 1 END AS bin FROM e) SELECT bin::BIGINT AS bin, count(*) AS n FROM h GROUP BY bin")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,20 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 s AS (SELECT vec_id, list_transform(v, lambda x: x * (1 + vec_id % 7)) AS v, label FROM e)
 """
 
+#: Columns that count or number things, 64 bits wide as SQL has them.
+COUNTED = {"rank", "pos", "i", "j"}
+
 
 def query(sql: str | None = None):
     """Register a function of (spark, folder) under its own name; ``sql`` goes on after WITH."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            df = f(spark, folder)
+            return df.withColumns({c: F.col(c).cast("bigint") for c, t in df.dtypes if t == "int" and c in COUNTED})
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = WITH + sql
         return f

@@ -99,7 +99,8 @@ def label_centres(docs):
 @query(MEANS + f", p AS (SELECT a.cluster, b.cluster AS other, {D2} AS d FROM c a, c b WHERE a.cluster <> b.cluster) "
        "SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY d, other) AS rank, other, round(d, 6) AS dist FROM p QUALIFY rank <= 3")
 def centre_neighbourhoods(spark, folder):
-    return K.neighbourhoods(label_centres(scaled(spark, folder)), 3).withColumn("dist", F.round("dist", 6))
+    near = K.neighbourhoods(label_centres(scaled(spark, folder)), 3)
+    return near.select(F.col("cluster").cast("int").alias("cluster"), "rank", F.col("other").cast("int").alias("other"), F.round("dist", 6).alias("dist"))
 
 
 @query(MEANS + f", p AS (SELECT a.vec_id, b.cluster, {D2} AS d FROM s a, c b) "
@@ -207,7 +208,7 @@ def read_range(spark, folder):
     return part.select("vec_id", F.round(V.squared_norm("embedding"), 6).alias("norm2"))
 
 
-@query("SELECT i AS vec_id, j AS pos, ((i * 8 + j) * 0.5) AS x FROM range(100) t(i), range(8) u(j)")
+@query("SELECT i AS vec_id, j AS pos, ((i * 8 + j) * 0.5)::DOUBLE AS x FROM range(100) t(i), range(8) u(j)")
 def generated(spark, folder):
     return tables.generated(spark, 100, 8, lambda p: p * 0.5).select("vec_id", F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
 
