@@ -157,7 +157,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def op10_licence_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    last = lambda c: F.element_at(F.split(c, "/"), -1).cast("long")
+    last = lambda c: F.element_at(F.split(c, "/"), -1).try_cast("long")
     return scan_licences(document_files(docs)).select(
         last("path").alias("doc_id"), "n_notices", "own_licence", "cosine", "licence_file", "licence",
         last("inherited_from").alias("inherited_from"),
@@ -178,8 +178,10 @@ f AS (
   FROM documents
 ), e AS (
   SELECT doc_id, trim(line, chr(32) || chr(9) || chr(11) || chr(12)) AS notice, n_words
-  FROM (SELECT doc_id, unnest(string_split_regex(text, '?
-|')) AS line, len({_WORDS.format("text")}) AS n_words
+  FROM (SELECT doc_id, unnest(string_split_regex(text, '
+?
+|
+')) AS line, len({_WORDS.format("text")}) AS n_words
         FROM f WHERE {_CUED.format("text")})
   WHERE {_CUED.format("line")}
 ), d AS (SELECT notice, count(*) AS n FROM e GROUP BY notice),
