@@ -1,7 +1,8 @@
 """The fvec format: each row is its dimension (int32) and as many float32; or, headerless, float32 alone.
 
-``FvecDataSource`` reads byte ranges of whole rows, so one large file is read by many tasks, and writes a part
-file for each task. Files are opened through Spark's own file readers, so any path that Spark reads will do.
+``read_fvecs`` takes any path that Spark reads, a file to a task (2 GB at most). ``FvecDataSource`` reads byte
+ranges of whole rows, so one large file is read by many tasks, and writes a part file for each task; it opens
+files itself, so its paths must be on a disk that driver and executors share.
 """
 
 from __future__ import annotations
