@@ -11,6 +11,7 @@ row to learn from every score is 0; rows that repeat an id are scored each; an e
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,7 @@ TRAIN_ROWS, BITS, PASSES = 20_000, 20, 5
 ALPHA, BETA, L2 = 2.0, 1.0, 1.0
 #: Strengths of L1 that are tried on a part of the sample; the best on the other part is used.
 L1_TRIED = (0.5, 1.0, 2.0, 4.0, 8.0)
+TRY_PASSES = 2
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 #: Words whose codes a worker remembers at most.
@@ -73,18 +75,23 @@ class Ftrl:
         return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / rate)
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        at = np.append(at, len(self.z) - 1)
-        w = self.weights(at)
+        """One step over the features of a row, the intercept's number among them."""
+        z, n = self.z[at], self.n[at]
+        root = np.sqrt(n)
+        w = (np.copysign(self.l1, z) - z) / ((self.beta + root) / self.alpha + self.l2)
+        w[np.abs(z) <= self.l1] = 0.0
         g = squash(w.sum()) - label
-        step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
-        self.z[at] += g - step * w
-        self.n[at] += g * g
+        n += g * g
+        self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
+        self.n[at] = n
 
 
 def fitted(seen: list[tuple[np.ndarray, int]], bits: int = BITS, passes: int = PASSES) -> Ftrl:
     """The model of rows in their order; every fifth row serves to choose the strength of L1."""
 
-    def fit(rows: list, l1: float) -> Ftrl:
+    seen = [(np.append(at, 2**bits), y) for at, y in seen]  # with the intercept
+
+    def fit(rows: list, l1: float, passes: int) -> Ftrl:
         model = Ftrl(bits, l1)
         for _ in range(passes):
             for at, y in rows:
@@ -93,14 +100,14 @@ def fitted(seen: list[tuple[np.ndarray, int]], bits: int = BITS, passes: int = P
 
     def loss(model: Ftrl, rows: list) -> float:
         w = model.weights(slice(None))
-        return -sum(np.log(max(1e-9, p if y else 1 - p)) for at, y in rows for p in [squash(w[at].sum() + w[-1])])
+        return -sum(np.log(max(1e-9, p if y else 1 - p)) for at, y in rows for p in [squash(w[at].sum())])
 
     kept, held = [x for i, x in enumerate(seen) if i % 5], seen[::5]
-    return fit(seen, min(L1_TRIED, key=lambda l1: loss(fit(kept, l1), held)))
+    return fit(seen, min(L1_TRIED, key=lambda l1: loss(fit(kept, l1, TRY_PASSES), held)), passes)
 
 
 def squash(x: float) -> float:
-    return float(1.0 / (1.0 + np.exp(-np.clip(x, -35, 35))))
+    return 1.0 / (1.0 + math.exp(-min(35.0, max(-35.0, x))))
 
 
 def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
