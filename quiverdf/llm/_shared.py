@@ -152,6 +152,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def heavy_hitters(df: DataFrame, value: str, most: int, counters: int) -> DataFrame:
+    """(item): values of ``df`` (a written table) that a Misra-Gries sketch finds frequent; ``most`` rows at most.
+
+    Sketches meet in two levels, as many groups as each has members, so that no task gathers those of all tasks.
+    """
+    groups = int(df.rdd.getNumPartitions() ** 0.5) + 1
+    parts = df.groupBy((F.spark_partition_id() % groups).alias("g")).agg(
+        F.expr(f"approx_top_k_accumulate({value}, {int(counters)})").alias("sketch")
+    )
+    whole = parts.groupBy((F.col("g") * 0).alias("g")).agg(  # no row for no rows: nothing combines to nothing
+        F.expr(f"approx_top_k_combine(sketch, {int(counters)})").alias("sketch")
+    )
+    top = whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {int(most)})")).alias("t"))
+    return top.select(F.col("t.item").alias("item"), F.col("t.count").alias("n"))
+
+
 #: Groups with at least one in so many of all rows are few: at most this many.
 MOST_LARGE = 10_000
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import SPACE, Scratch, text_of
+from quiverdf.llm._shared import SPACE, Scratch, heavy_hitters, text_of
 
 #: Counters of the sketch, and at most so many digests taken as frequent: this bounds what is broadcast.
 SKETCH_COUNTERS, MOST_HEAVY = 16_384, 2_048
@@ -27,10 +27,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def heavy_digests(table: DataFrame, counters: int = SKETCH_COUNTERS, most: int = MOST_HEAVY) -> DataFrame:
     """Candidates for frequent digests, by their first 8 bytes: column ``head``. At most ``most`` rows."""
-    heads = table.select(_head().alias("head"))
-    return heads.agg(F.expr(f"approx_top_k(head, {int(most)}, {int(counters)})").alias("top")).select(
-        F.explode("top").alias("t")
-    ).where("t.count > 1").select(F.col("t.item").alias("head"))
+    found = heavy_hitters(table.select(_head().alias("head")), "head", most, counters)
+    return found.where("n > 1").select(F.col("item").alias("head"))
 
 
 def _head():
