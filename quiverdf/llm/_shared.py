@@ -25,14 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows that Python workers get at once; rows here are texts, so Spark's default of 10000 holds much memory.
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, "8m"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def lean_batches(spark: SparkSession) -> None:
-    """Let Python workers take fewer rows at once, where the session leaves that at Spark's default."""
+    """Let Python workers take fewer rows and bytes at once, where the session leaves that at Spark's default."""
     if spark.conf.get(_BATCH, "10000") == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -56,19 +58,24 @@ class Scratch:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def keep(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        """Write ``df`` and return the table that was written."""
+    def keep(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and return the table that was written; ``batch_rows``: rows of a Python batch meanwhile."""
         if not self.paths:
             fs, where = self._fs(self.root)
             fs.mkdirs(where)
             fs.deleteOnExit(where)
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:6]}"
-        before = self.spark.conf.get(CLEAN_UP, None)
-        self.spark.conf.set(CLEAN_UP, "true")  # what is written needs its shuffle files no more
+        conf = self.spark.conf
+        # What is written needs its shuffle files no more.
+        wanted = {CLEAN_UP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+        before = {k: conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            conf.set(k, v)
         try:
-            df.write.partitionBy(*partition_by).parquet(path)
+            df.write.parquet(path)
         finally:
-            self.spark.conf.unset(CLEAN_UP) if before is None else self.spark.conf.set(CLEAN_UP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         self._held = [*getattr(self, "_held", []), out]
