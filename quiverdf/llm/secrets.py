@@ -12,7 +12,6 @@ one; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -215,17 +214,11 @@ def redact(text: str | None, spans: list, mark: str = "[{kind}]") -> str | None:
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, spans in zip(b["doc_id"], b["secret_spans"], strict=True):
-                said = [(s["kind"], f"{s['kind']}:{s['start']}:{s['end']}") for s in spans]
-                base = ",".join(x for k, x in said if k != "guess")
-                n = [sum(k == kind for k, _ in said) for kind in KINDS[:3]]
-                out.append((i, *n, hashlib.sha256(base.encode()).hexdigest(), ",".join(x for _, x in said)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_secrets(docs).select("doc_id", "secret_spans").mapInPandas(
-        rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    )
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secret_spans", lambda s: s["kind"] != KINDS[-1])
+    return find_secrets(docs).select(
+        "doc_id", *[of(k).alias(f"n_{k}") for k in KINDS[:3]],
+        F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secret_spans")).alias("spans"),
+    )
