@@ -207,6 +207,37 @@ def test_frequent_passage_and_repeats_inside(docs, monkeypatch):
     assert len(rows) < 4 * len(texts)
 
 
+def shares(a, b, n=50):
+    a, b = a.split(), b.split()
+    return bool({tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)})
+
+
+def scattered(rng):
+    """Passages whose parts stand alone before: halves, thirds, a half that repeats inside one document."""
+    new = lambda n: " ".join(prose(rng, n, 10**6))
+    out = []
+    for n in (2, 3, 5):
+        parts = [new(60 // n) for _ in range(n)]
+        for _ in range(2):
+            out += [f"{new(9)} {p} {new(9)}" for p in parts] + [f"{new(9)} {' '.join(parts)} {new(9)}"]
+    a, b, c = new(30), new(30), new(26)
+    return out + [b, f"{a} {new(9)} {a} {b}", a, b, f"{new(70)} {a} {b}"] + [c, f"{c} {a}", new(3) + " " + c, a, f"{c} {a} {new(20)}"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_scattered_passages_brute_force(docs, seed):
+    rng = random.Random(seed)
+    texts = scattered(rng) + ["a " * 70 + " ".join(prose(rng, 40, 10**6)), "b c " + "a " * 55 + " ".join(prose(rng, 20, 10**6))]
+    blocks = [" ".join(prose(rng, 17, 10**6)) for _ in range(6)]
+    texts += [" ".join(rng.choices(blocks, k=rng.randrange(1, 6))) for _ in range(60)]
+    rows = P.repeated_passages(docs(texts).coalesce(1).sortWithinPartitions("doc_id")).collect()
+    found = {r["doc_id"] for r in rows} | {r["other_id"] for r in rows}
+    assert found >= {i for i, t in enumerate(texts) if any(shares(t, u) for j, u in enumerate(texts) if j != i)}
+    for r in rows:
+        assert r["end"] - r["start"] >= 50 and r["identity"] >= 0.8
+    assert len({tuple(r) for r in rows}) == len(rows)
+
+
 def test_passages_awkward(awkward):
     rows = P.repeated_passages(awkward).collect()
     assert rows == []
