@@ -238,6 +238,21 @@ def test_scattered_passages_brute_force(docs, seed):
     assert len({tuple(r) for r in rows}) == len(rows)
 
 
+@pytest.mark.parametrize("changed, recall", [(0.05, 0.97), (0.1, 0.95), (0.15, 0.85), (0.18, 0.8)])
+def test_changed_passages_are_found(docs, changed, recall):
+    """Pairs of documents that share 60 words, a part of them changed: at an identity of 0.8 or more all are passages."""
+    rng = random.Random(8)
+    texts = []
+    while len(texts) < 200:
+        p = prose(rng, 60, 10**6)
+        q = [f"z{rng.random()}" if rng.random() < changed else w for w in p]
+        if sum(x == y for x, y in zip(p, q, strict=True)) >= 48:
+            texts += [" ".join(prose(rng, 30, 10**6) + w + prose(rng, 30, 10**6)) for w in (p, q)]
+    rows = P.repeated_passages(docs(texts).coalesce(1).sortWithinPartitions("doc_id")).collect()
+    assert all(r["doc_id"] - r["other_id"] == 1 and r["doc_id"] % 2 for r in rows)
+    assert len({r["doc_id"] for r in rows}) >= recall * 100
+
+
 def test_passages_awkward(awkward):
     rows = P.repeated_passages(awkward).collect()
     assert rows == []
