@@ -33,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "login")
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|client|auth)[_-]?(?:key|secret|token)"""
-    r"""|credentials?|authorization|bearer|login)["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+is\x20+|\x20+)["']?([!-~]{8,})""",
+    r"""|credentials?|authorization|bearer|login)["']?(\x20*(?:=>|[:=])\x20*|\x20+is\x20+|\x20+)["']?([^\x00-\x20\x7F-\xA0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000]{8,})""",
     re.I | re.A,
 )
 QUOTES = "\"'`,;)]}>."
@@ -73,8 +73,9 @@ OPEN = 2.0
 
 
 def char_bits(c: str) -> float:
-    """Bits of one brute-forced character: the size of its class."""
-    return math.log2(10 if c.isdigit() else 26 if c.isalpha() else 33)
+    """Bits of one brute-forced character: the size of its class; a capital takes two more, so that letters of
+    random case take a bit more each than letters of one."""
+    return math.log2(10 if c.isdigit() else 26 * 4 if c.isupper() else 26 if c.isalpha() else 33)
 
 
 def run_ends(n: int, goes_on) -> list[int]:
@@ -122,6 +123,10 @@ class Segments:
 
 def guess_bits(value: str) -> tuple[float, list[tuple[int, int, str]]]:
     """The least bits over all ways to cut ``value``, and the cut: (start, end, kind) in order."""
+    low = value.translate(_ASCII_LOWER)
+    if low != value and value.upper() == value:  # all in capitals: one more guess, not one for each
+        bits, cut = guess_bits(low)
+        return bits + 1.0, cut
     n, structured = len(value), Segments(value)
     # best[i]: all before i is cut; `brute` is whether a brute-force span ends there and may go on.
     best = [[math.inf, math.inf] for _ in range(n + 1)]
@@ -168,11 +173,12 @@ def find_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[i
     if hinted:
         taken = sorted((a, b) for a, b, _, _ in found)
         for m in CONTEXT.finditer(text):
-            start, value = m.start(1), m[1].rstrip(QUOTES)
+            start, value = m.start(2), m[2].rstrip(QUOTES)
             end = start + len(value)
             if len(value) < 8 or any(a < end and start < b for a, b in taken):
                 continue
-            if value.isalpha() and (value.islower() or value.istitle()):
+            assigned = m[1].strip(" ") in (":", "=", "=>") or m[0][:6].lower() == "bearer"
+            if not assigned and value.isalpha() and (value == value.lower() or value.istitle()):
                 continue  # prose after a credential word
             bits, _ = guess_bits(value)
             if bits >= least_bits:

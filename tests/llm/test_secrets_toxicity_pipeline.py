@@ -68,6 +68,16 @@ def test_base_spans_brute_force():
         assert got == base_spans(t), t
 
 
+@pytest.mark.parametrize("text", [
+    "pwd = {qzjxkvbwmfhytr}", "passphrase: {qzjxkvbwmfhytr}", "bearer {qzjxkvbwmfhytr}", "pwd => {Qzjxkvbwmfhytr}", "login = {xK9fQ2Lm}",
+    "pwd: {xK9fQ2LmT}", "pwd = {pé8Kq#2ßLz9}", "login: {7Ω!x9Kq2Pz}, ok", "pwd is prohibited", "login: PASSWORDADMIN", "pwd = password123", "login credentials",
+])
+def test_values_in_context(text):
+    want = re.findall(r"\{(.*)\}", text)
+    text = text.replace("{", "").replace("}", "")
+    assert [text[a:b] for a, b, k, _ in S.find_spans(text) if k == "guess"] == want
+
+
 def test_guess_adds_and_never_overlaps():
     t = 'pwd: x7Kq#2pLz9!t and passphrase = correct, login hunter2hunter2; auth_token => "Zq8!vR3@kT6$" password=e3b3ed3cc8548923d6'
     spans = S.find_spans(t)
