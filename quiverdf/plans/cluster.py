@@ -14,7 +14,7 @@ from quiverdf.operators import knn as K
 from quiverdf.operators import merge_policy as G
 from quiverdf.operators import ordering as R
 from quiverdf.operators import pq as P
-from quiverdf.plans.registry import asked, query, r6, scaled, unit
+from quiverdf.plans.registry import asked, asked_throughout, query, r6, scaled, unit
 from quiverdf.plans.vectors import D2, GRAPH, MEANS, label_centres
 
 D = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -105,16 +105,16 @@ def ivf_all_probes_join(spark, folder):
 def ivf_soar_recall(spark, folder):
     docs = unit(spark, folder)
     c, lists = I.build_ivf(docs, 16)
-    found, compared = I.search(lists, asked(docs), c, 10, 4)
-    return E.compared(E.recall(K.knn(docs, asked(docs), 10), found), compared, docs.count())
+    found, compared = I.search(lists, asked_throughout(docs), c, 10, 4)
+    return E.compared(E.recall(K.knn(docs, asked_throughout(docs), 10), found), compared, docs.count())
 
 
 @query()
 def ivf_quantised_recall(spark, folder):
     docs = unit(spark, folder)
     turned, _, c, lists = I.build_quantised_ivf(docs, 2, 64)
-    found = I.search_quantised(lists, turned, asked(turned), c, 10, 6, 2)
-    return E.recall(K.knn(docs, asked(docs), 10), found)
+    found = I.search_quantised(lists, turned, asked_throughout(turned), c, 10, 6, 2)
+    return E.recall(K.knn(docs, asked_throughout(docs), 10), found)
 
 
 @query()
@@ -320,7 +320,7 @@ def merge_policy_trials(spark, folder):
 def pq_index_recall(spark, folder):
     docs = P.prepared(unit(spark, folder), "cosine", 8)
     model = P.fit_pq(docs, "cosine", 8, 32, 300)
-    return E.recall_summary(E.recall(K.knn(docs, asked(docs), 10), P.search(P.encode_docs(docs, model), asked(docs), model, 50)))
+    return E.recall_summary(E.recall(K.knn(docs, asked_throughout(docs), 10), P.search(P.encode_docs(docs, model), asked_throughout(docs), model, 50)))
 
 
 @query(", p AS (SELECT q.vec_id AS qid, a.vec_id, 1 - list_inner_product(a.v, q.v) AS d FROM e a, e q WHERE q.vec_id < 10) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank, vec_id, round(d, 6) + 0.0 AS dist FROM p QUALIFY rank <= 10")

@@ -15,7 +15,7 @@ from quiverdf.operators import one_bit as B
 from quiverdf.operators import osq as O
 from quiverdf.operators import pq as P
 from quiverdf.operators import scalar_quant as Q
-from quiverdf.plans.registry import asked, query, r6, scaled, unit
+from quiverdf.plans.registry import asked, asked_throughout, query, r6, scaled, unit
 
 LOW, HIGH = -0.3, 0.3
 
@@ -220,7 +220,7 @@ def one_bit_estimates(spark, folder):
 @query()
 def one_bit_pruned_recall(spark, folder):
     docs = scaled(spark, folder)
-    t = B.estimates(docs, asked(docs), B.centre_of(docs))
+    t = B.estimates(docs, asked_throughout(docs), B.centre_of(docs))
     return E.coverage(B.pruned(t, 10), 10, 40)
 
 
@@ -267,7 +267,7 @@ def pq_trained_error(spark, folder):
 def pq_anisotropic(spark, folder):
     docs = P.prepared(unit(spark, folder), "cosine", 8)
     model = P.fit_pq(docs, "cosine", 8, 32, 10**6, threshold=0.6)
-    return P.search(P.encode_docs(docs, model), asked(unit(spark, folder)), model, 10)
+    return P.search(P.encode_docs(docs, model), asked_throughout(unit(spark, folder)), model, 10)
 
 
 @query()
@@ -275,7 +275,7 @@ def pq_merged(spark, folder):
     docs = P.prepared(unit(spark, folder), "cosine", 8)
     a, b = (P.fit_pq(docs.where(F.col("vec_id") % 2 == i), "cosine", 8, 16, 200, seed=i) for i in (0, 1))
     model = P.merge_models(docs, a, b, 200)
-    return E.recall_summary(E.recall(K.knn(docs, asked(docs), 10), P.search(P.encode_docs(docs, model), asked(docs), model, 40)))
+    return E.recall_summary(E.recall(K.knn(docs, asked_throughout(docs), 10), P.search(P.encode_docs(docs, model), asked_throughout(docs), model, 40)))
 
 
 @query()

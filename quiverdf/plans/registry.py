@@ -54,6 +54,11 @@ def asked(docs: DataFrame) -> DataFrame:
     return docs.where("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
 
 
+def asked_throughout(docs: DataFrame) -> DataFrame:
+    """Every row whose id is divisible by 100, as a query: for searches that no SQL holds to ``asked``."""
+    return docs.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
 

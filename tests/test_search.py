@@ -90,3 +90,12 @@ def test_stream_equals_batch(spark, vectors, tmp_path):
     search_stream(stream, docs, 3, sink, str(tmp_path / "cp"), once=True).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("qid", "rank", "vec_id").orderBy("qid", "rank").collect()
     assert got == K.knn(docs, asked(docs).limit(5), 3).select("qid", "rank", "vec_id").orderBy("qid", "rank").collect()
+
+
+def test_searches_without_sql_ask_throughout(spark, tmp_path):
+    """Queries are all ids divisible by 100, wherever the ids begin."""
+    from quiverdf.plans.catalog import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    docs.withColumn("vec_id", F.col("vec_id") + 1_000).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["qid"] for r in QUERIES["pq_anisotropic"](spark, str(tmp_path)).collect()} == set(range(1_000, 1_500, 100))
