@@ -318,11 +318,16 @@ def kmeans_local(points: DataFrame, c: np.ndarray, m: int = 128, iterations: int
     return c, spill(last, c, weight, near)
 
 
+def some_of(x: np.ndarray, most: int, seed: int) -> np.ndarray:
+    """``most`` rows of ``x`` at most, drawn from all of them, in their order."""
+    return x if len(x) <= most else x[np.sort(np.random.default_rng(seed).permutation(len(x))[:most])]
+
+
 def _splitter(split: dict[int, int], per_centre: int, iterations: int, seed: int):
     """A function that fits as many children as ``split`` says to a sample of one cluster."""
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(g.sort_values("vec_id")["embedding"].to_list())[: per_centre * split[key[0]]]
+        x = some_of(np.stack(g.sort_values("vec_id")["embedding"].to_list()), per_centre * split[key[0]], seed)
         start = np.unique(x, axis=0)
         start = start[np.random.default_rng(seed).permutation(len(start))[: split[key[0]]]]
         c = local_lloyd(x, start, 2 * iterations)[0]

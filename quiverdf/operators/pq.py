@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverdf.functions.vectors import doubles, literal, squared_norm
-from quiverdf.operators.kmeans import assign, coarse_clusters, forgy, local_lloyd, lloyd_step, plus_plus, sendable, squared_distances
+from quiverdf.operators.kmeans import assign, coarse_clusters, forgy, local_lloyd, lloyd_step, plus_plus, sendable, squared_distances, some_of
 from quiverdf.operators.sampling import stratified
 
 #: Published defaults: books, centres of each, steps to build and to refresh, restarts, sample for the restarts.
@@ -173,8 +173,8 @@ def fit_pq(docs: DataFrame, metric: str = "cosine", books: int = BOOKS, size: in
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         k = int(key[0])
         x = np.stack(g.sort_values("vec_id")["embedding"].to_list()) - c[k]
-        turn = old.rotations[k] if old is not None else balanced_subspaces(*pca(x[: PCA_POINTS * d]), books)
-        y = x[: BOOK_POINTS * size] @ turn.T
+        turn = old.rotations[k] if old is not None else balanced_subspaces(*pca(some_of(x, PCA_POINTS * d, seed)), books)
+        y = some_of(x, BOOK_POINTS * size, seed) @ turn.T
         book = fit_codebooks(y, books, size, BUILD_STEPS if old is None else REFRESH_STEPS, seed, None if old is None else old.books[k])
         return pd.DataFrame({"cluster": [k], "rotation": [turn.ravel()], "books": [book.ravel()], "size": [book.shape[1]]})
 

@@ -101,7 +101,7 @@ def interval_candidates(spark, folder):
 
 @query()
 def interval_calibrated(spark, folder):
-    return spark.createDataFrame([Q.calibrated_interval(unit(spark, folder), 4, 300)], "lo double, hi double, score double")
+    return spark.createDataFrame([Q.calibrated_interval(unit(spark, folder), 4)], "lo double, hi double, score double")
 
 
 SEGMENTS = ", g AS (SELECT vec_id % 5 AS seg_id, count(*) AS n, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM (SELECT vec_id, unnest(v) AS x FROM e) GROUP BY ALL), m AS (SELECT sum(n::DOUBLE * lo) / sum(n::DOUBLE) AS lo, sum(n::DOUBLE * hi) / sum(n::DOUBLE) AS hi FROM g) "

@@ -190,3 +190,14 @@ def test_merge_cost_and_policies(spark):
     tiered = G.run_policy("tiered", given, most_deleted=0.0)
     assert len(tiered.segments()) <= tiered.allowed()
     assert {r["policy"] for r in G.trials(spark, 2, (50, 100)).collect()} == {"log_doc", "tiered", "largest"}
+
+
+def test_samples_are_cut_throughout():
+    """Training sees all of a cluster's sample, not only its lowest ids."""
+    import pandas as pd
+
+    g = pd.DataFrame({"vec_id": range(1_000), "embedding": [np.array([10.0 * (i >= 500), i / 1_000]) for i in range(1_000)]})
+    centres = M._splitter({0: 2}, 10, 6, 0)((0,), g)["centre"]
+    assert sorted(round(c[0]) for c in centres) == [0, 10]
+    x = np.arange(50)
+    assert (M.some_of(x, 50, 0) == x).all() and (np.diff(M.some_of(x, 20, 0)) > 0).all() and M.some_of(x, 20, 0).max() > 30
