@@ -118,7 +118,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2, window:
     counts = scratch.keep(term_counts(rows, terms))
     rare = scratch.keep(rarest_terms(phrases, counts, None))
     index = scratch.keep(postings(rows, terms))
-    starts = index.join(rare.where("r = 1"), "term").select("__row", "wid", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    starts = index.join(rare.where("r = 1"), "term").select("__row", "wid", (F.col("pos") - F.col("off")).alias("start")).where(F.col("start") >= -slop)  # the first term may stand later
     wanted = starts.join(rare.select("wid", "off", "term"), "wid").withColumn("at", F.col("start") + F.col("off"))
     near = wanted.join(index, ["__row", "term"]).where(F.abs(F.col("pos") - F.col("at")) <= slop)
     full = near.groupBy("__row", "wid", "start").agg(F.countDistinct("off").cast("int").alias("len"))

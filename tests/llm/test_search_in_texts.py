@@ -77,6 +77,14 @@ def test_proximity(spark, docs):
     assert len({r for r, _ in {(r["__row"], r["start"]) for r in proximity_matches(table, benchmark(spark, [(1, "a b c d")]), slop=0).collect()}}) == 1
 
 
+def test_proximity_at_the_head_of_a_document(spark, docs):
+    table = docs(["a b d c", "d d d a", "d a b c"])  # d, the rarest term, would begin the phrase before the document
+    items = benchmark(spark, [(1, "a b c d"), (2, "a b c"), (3, "a b c")])
+    found = proximity_matches(docs(["a b d c", "a b c", "a b c"]), items, slop=2).where("phrase = 'a b c d'").collect()
+    assert [r["start"] for r in found] == [-1]
+    assert proximity_matches(table.limit(0), items).count() == 0
+
+
 # --- Jaccard join --------------------------------------------------------------------------------------------
 
 
