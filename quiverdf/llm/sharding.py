@@ -6,8 +6,7 @@ one the other way - another member's that wants it, else a document without link
 All decisions about quotas are made on tables with one row for each pair of shards.
 
 The law is ``rows``: counts are at most one apart, before, during and after. Groups are documents with equal
-texts, or the ``links`` given; a group larger than its part of a shard is split by a hash into as few parts
-as fit. Null texts count as empty; rows that repeat an id are separate; empty tables give empty results.
+texts, or the ``links`` given; a group larger than a shard is split by a hash into whole shards and a rest. Null texts count as empty; rows that repeat an id are separate; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from quiverdf.llm._shared import Scratch, identified, text_of, utf8_bytes, with_rank
 
 SHARDS, TURNS = 40, 8
-#: A group's share of a shard at most, so that the rest of the shard can make room.
-GROUP_SHARE = 0.5
 #: Groups that are held apart, and broadcast, for having at least one in so many of all rows.
 MOST_LARGE = 10_000
 #: Bytes that a document takes besides its text.
@@ -49,16 +46,16 @@ def balanced_shards(
     rows = _prepared(scratch, rows, id_col, text_col, group_col)
     ranked = with_rank(scratch, rows, ["key", "__row"], "rank")
     state = scratch.keep(ranked.withColumn("shard", (F.col("rank") % shards).cast("int")).drop("rank"))
-    quota = max(1, int(state.count() / shards * GROUP_SHARE))
+    quota = max(1, state.count() // shards)  # what every shard holds
     # Only groups of two or more take part; their rows are the graph's, the others make room.
     sizes = scratch.keep(state.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     large = F.col("members") > max(1_000, state.count() // MOST_LARGE)
     some, rest = sizes.where(large), sizes.where(~large)
-    parts = F.ceil(F.col("members") / quota)
+    part = F.floor(F.pmod("key", "members") / quota)  # whole shards and what is left, 0 for most groups
     linked = scratch.keep(
         state.join(F.broadcast(some), "grp")  # at most MOST_LARGE groups are so large
         .unionByName(state.join(F.broadcast(some), "grp", "left_anti").join(rest, "grp"))
-        .select("__row", "key", "shard", F.xxhash64("grp", F.pmod("key", parts)).alias("hub"))
+        .select("__row", "key", "shard", F.xxhash64("grp", part).alias("hub"))
     )
     free = scratch.keep(state.join(linked.select("__row"), "__row", "left_anti").select("__row", "key", "shard"))
     for _ in range(turns):

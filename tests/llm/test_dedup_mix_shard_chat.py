@@ -222,3 +222,15 @@ def test_deep_path(spark):
     messages = spark.createDataFrame([(i, i - 1 if i else None, "user", f"m{i}", 1.0) for i in range(n)], "node long, parent long, role string, text string, score double")
     row = chat.format_paths(messages).select(chat.read_turns(F.col("formatted")).alias("t")).first()
     assert [x["text"] for x in row["t"]] == [f"m{i}" for i in range(n)]
+
+
+def test_groups_of_up_to_a_shard_are_not_cut_in_advance(docs):
+    """A group of nine tenths of a shard ends together, all but a few rows."""
+    from collections import Counter
+
+    from quiverdf.llm import sharding
+
+    rows = docs([f"text {i}" for i in range(710)] + ["the same"] * 90)
+    out = sharding.balanced_shards(rows, shards=8).collect()
+    assert set(Counter(r["shard"] for r in out).values()) == {100}
+    assert max(Counter(r["shard"] for r in out if r["doc_id"] >= 710).values()) >= 80
