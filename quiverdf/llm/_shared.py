@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts spell it.
 SPACE = r"[\x20\x09-\x0D]+"
 #: What parts words: every ASCII character but digits and lower-case letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ASCII_GAPS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quiverdf-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -98,7 +102,10 @@ def ascii_lower(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text: runs of digits, ASCII letters (lower-cased) and all that is not ASCII."""
-    return F.array_remove(F.split(ascii_lower(text), NOT_WORD), "")
+    # Two cheap ways to the same: only texts of ASCII alone may be lower-cased as a whole, and one blank parts fastest.
+    ascii_only = F.octet_length(text) == F.length(text)
+    parted = F.translate(text, UPPER + ASCII_GAPS, LOWER + " " * len(ASCII_GAPS))
+    return F.array_remove(F.when(ascii_only, F.split(F.lower(text), NOT_WORD)).otherwise(F.split(parted, " ")), "")
 
 
 def utf8_bytes(text: Column) -> Column:
@@ -126,21 +133,54 @@ def with_rank(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFr
 
 def prefix_of(df: DataFrame, keys: list, order: list, value: str, name: str) -> DataFrame:
     """Exclusive running sum of ``value`` in each group, for small per-partition or per-range tables."""
-    from pyspark.sql import Window
-
     over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(over), F.lit(0)).cast("long"))
 
 
+#: Files of a scan whose names are sent to all tasks, to number their rows; rows of more files are numbered by a copy.
+MOST_FILES = 100_000
+
+
 def identified(scratch: Scratch, docs: DataFrame, name: str = "__row") -> DataFrame:
-    """``docs`` with a row number that is the same on every reading.
+    """``docs`` with a row number that is the same on every reading, however files are dealt to tasks.
 
-    Rows of a plain file scan are numbered as they are read; anything else is written out first, as its
-    rows may come in another order when a lost partition is computed again.
+    Rows of a scan of Parquet files are numbered by their file and their place in it. All else is written out
+    with its numbers first, as its rows may come in another order when they are computed again.
     """
     nodes = set(_plan_nodes(docs._jdf.queryExecution().optimizedPlan()))
-    steady = docs if nodes <= {"LogicalRelation", "Project", "Filter"} else scratch.keep(docs)
-    return steady.withColumn(name, F.monotonically_increasing_id())
+    numbered = _by_place(scratch, docs, name) if nodes <= {"LogicalRelation", "Project", "Filter"} else None
+    return scratch.keep(docs.withColumn(name, F.monotonically_increasing_id())) if numbered is None else numbered
+
+
+def _by_place(scratch: Scratch, docs: DataFrame, name: str) -> DataFrame | None:
+    """``docs`` numbered by file and place, or None if the files do not tell a row's place or are too many."""
+    if {"_metadata", "__file", "__at"} & {c.lower() for c in docs.columns}:
+        return None
+    try:
+        placed = docs.withColumns({"__file": F.col("_metadata.file_path"), "__at": F.col("_metadata.row_index")})
+    except AnalysisException:
+        return None
+    files = scratch.keep(placed.groupBy("__file").agg((F.max("__at") + 1).alias("__n")))
+    if files.count() > MOST_FILES:
+        return None
+    firsts = prefix_of(files, [], ["__file"], "__n", "__first").drop("__n")  # a row for each file
+    return placed.join(F.broadcast(firsts), "__file").withColumn(name, F.col("__first") + F.col("__at")).drop("__file", "__at", "__first")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_of(scratch: Scratch, docs: DataFrame, row_col: str | None, **columns: Column) -> DataFrame:
+    """(__row, and the named columns) of ``docs``; numbered here unless ``row_col`` holds numbers already."""
+    named = [c.alias(n) for n, c in columns.items()]
+    if row_col:
+        return docs.select(F.col(f"`{row_col}`").alias("__row"), *named)
+    return identified(scratch, docs.select(*named))
 
 
 def _plan_nodes(plan):
@@ -189,27 +229,39 @@ def join_counted(big: DataFrame, groups: DataFrame, key: str, count: str, rows:
     return big.join(some, key).unionByName(big.join(some.select(key), key, "left_anti").join(rest, key))
 
 
+def join_groups(big: DataFrame, groups: DataFrame, key: str, count: str, rows: int) -> DataFrame:
+    """The same for ``groups`` that are a written table: a plain broadcast if they are few."""
+    return big.join(F.broadcast(groups), key) if groups.count() <= BROADCAST_ROWS else join_counted(big, groups, key, count, rows)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node of its component.
 
     Each turn takes the least label over the neighbours and then jumps to the label's own label, so that
-    turns grow with the logarithm of a component's diameter; labels are written out after each.
+    turns grow with the logarithm of a component's diameter; labels are written out after each. Nodes with very
+    many neighbours and labels of very many nodes are met by broadcast.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.keep(both.where("a <> b").distinct())
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    rows = both.count()
+    labels = scratch.keep(
+        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("degree"))
+    )
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("low"))
+        of_node = labels.select(F.col("node").alias("b"), "label", "degree")
+        near = join_counted(both, of_node, "b", "degree", rows).groupBy("a").agg(F.min("label").alias("low"))
         lower = labels.join(near, labels["node"] == near["a"]).select(
-            "node", "label", F.least("label", "low").alias("low")
+            "node", "degree", "label", F.least("label", "low").alias("low")
         )
         lower = scratch.keep(lower)
-        own = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        sizes = lower.groupBy("low").agg(F.count(F.lit(1)).alias("size"))
+        own = scratch.keep(lower.select(F.col("node").alias("low"), F.col("low").alias("far")).join(sizes, "low"))
+        jumped = join_counted(lower, own, "low", "size", lower.count())
         jumped = scratch.keep(
-            lower.join(own, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved"))
+            jumped.select("node", "degree", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved"))
         )
         done = jumped.where("moved").isEmpty()
-        scratch.free(lower, labels)
+        scratch.free(lower, labels, own)
         labels = jumped
         if done:
             scratch.free(both)
