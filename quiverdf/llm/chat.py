@@ -3,10 +3,12 @@
 Messages name their parents. Self-joins that double their reach each turn give every message its root,
 depth and the summed score of its path; the best leaves of each tree are chosen, and the same jumps, from
 the longest to the shortest, enumerate each chosen leaf's ancestors exactly once. Every path becomes one
-conversation in a template whose control strings are escaped, reversibly, inside texts.
+conversation in a template whose control strings are escaped, reversibly, inside texts, with the spans of the texts
+to learn from (the loss mask).
 
 Defined results: null texts and roles are empty; a null score is 0; a message whose parent is missing is a
-root; messages that repeat in every column are separate turns; of equally good branches the one with the
+root; so is the smallest message of a circle of replies, or one that replies to itself; messages that repeat in every
+column are separate turns; of equally good branches the one with the
 smallest leaf is chosen; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -48,25 +50,20 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(chunks, turn)
 
 
-def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, leaf, rank, node, depth) of every message on the ``branches`` best root-to-leaf paths of each tree.
+def _climbed(scratch: Scratch, nodes: DataFrame, turns: int):
+    """((node, ptr, len, total, root) of the nodes that reach a root, those that do not, (node, ptr) of each turn).
 
-    ``messages``: node (unique long), parent (long or null), score.
-    """
-    scratch = Scratch(messages.sparkSession)
-    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
-    nodes = scratch.keep(messages.select("node", "parent", score.alias("score")))
+    ptr: the ancestor ``len`` steps up, null beyond the root; total: scores from node up to below ptr."""
     known = nodes.select(F.col("node").alias("parent"))
-    # ptr: the ancestor `len` steps up, null beyond the root; total: scores from node up to below ptr.
     state = scratch.keep(
         nodes.join(known.withColumn("there", F.lit(True)), "parent", "left").select(
-            "node", F.when(F.col("there"), F.col("parent")).alias("ptr"), F.lit(1).alias("len"),
+            "node", F.when(F.col("there"), F.col("parent")).alias("ptr"), F.lit(1).cast("long").alias("len"),
             F.col("score").alias("total"), F.when(F.col("there").isNull(), F.col("node")).alias("root"),
         )
     )
     jumps = []
     done, state = state.where("ptr IS NULL"), state.where("ptr IS NOT NULL")
-    while not state.isEmpty():
+    while len(jumps) <= turns and not state.isEmpty():
         jumps.append(state.select("node", "ptr"))
         ahead = done.unionByName(state).select(
             F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("len").alias("len2"),
@@ -79,6 +76,34 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             )
         )
         done, state = done.unionByName(moved.where("ptr IS NULL")), moved.where("ptr IS NOT NULL")
+    return done, state, jumps
+
+
+def _without_circles(scratch: Scratch, nodes: DataFrame, state: DataFrame, turns: int) -> DataFrame:
+    """``nodes``, the smallest of each circle having no parent. ``state``: the nodes that reach no root; after jumps
+    longer than any circle, what they point to are the circles' nodes, all of them."""
+    on = scratch.keep(state.select(F.col("ptr").alias("node")).distinct())
+    up = scratch.keep(nodes.join(on, "node").select("node", F.col("parent").alias("ptr"), F.col("node").alias("low")))
+    for _ in range(turns):
+        ahead = up.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
+        up = scratch.keep(up.join(ahead, "ptr").select("node", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low")))
+    cut = up.where("node = low").select("node", F.lit(True).alias("cut"))
+    return nodes.join(cut, "node", "left").select("node", F.when(F.col("cut").isNull(), F.col("parent")).alias("parent"), "score")
+
+
+def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
+    """(tree, leaf, rank, node, depth) of every message on the ``branches`` best root-to-leaf paths of each tree.
+
+    ``messages``: node (unique long), parent (long or null), score.
+    """
+    scratch = Scratch(messages.sparkSession)
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    nodes = scratch.keep(messages.select("node", "parent", score.alias("score")))
+    turns = max(1, nodes.count()).bit_length()  # after so many jumps, each twice as long, only circles go on
+    done, state, jumps = _climbed(scratch, nodes, turns)
+    if not state.isEmpty():
+        nodes = scratch.keep(_without_circles(scratch, nodes, state, turns))
+        done, state, jumps = _climbed(scratch, nodes, turns)
     parents = nodes.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct()
     leaves = done.join(parents, "node", "left_anti").select(F.col("root").alias("tree"), F.col("node").alias("leaf"), "total")
     if branches == 1:  # combined before the shuffle, whatever a tree's size
@@ -95,21 +120,31 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     return paths.join(done.select("node", F.col("len").alias("depth")), "node")
 
 
-def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, leaf, rank, formatted): each chosen path as one conversation.
+def format_paths(messages: DataFrame, branches: int = 1, loss_role: str = LOSS_ROLE) -> DataFrame:
+    """(tree, leaf, rank, formatted, mask): each chosen path as one conversation; ``mask``, an array of (start, len) in
+    code points, is where the texts of ``loss_role`` stand in it, escaped, in order.
 
     ``messages``: node, parent, role, text, score; ``tree`` is the root's node.
     """
-    turn = format_turn(text_of("role"), text_of("text"))
+    role, text = text_of("role"), text_of("text")
+    turns = messages.select("node", format_turn(role, text).alias("turn"), (role == loss_role).alias("learnt"), F.length(escape(text)).cast("long").alias("n"))
+    path = ["tree", "leaf", "rank"]
+    before = Window.partitionBy(*path).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    chars = F.length("turn").cast("long")
+    start = F.coalesce(F.sum(chars).over(before), F.lit(0)) + chars - len(END) - 1 - F.col("n")
+    placed = reply_paths(messages, branches).join(turns, "node").withColumn("span", F.when(F.col("learnt"), F.struct(start.alias("start"), F.col("n").alias("len"))))
     return (
-        reply_paths(messages, branches)
-        .join(messages.select("node", turn.alias("turn")), "node")
-        .groupBy("tree", "leaf", "rank")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("turns"))
-        .select("tree", "leaf", "rank", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"))
+        placed.groupBy(*path)
+        .agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("turns"), F.array_sort(F.collect_list("span")).alias("mask"))
+        .select(*path, F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"), "mask")
     )
 
 
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under a mask, unescaped, as an array."""
+    return F.transform(mask, lambda m: unescape(F.substring(formatted, (m["start"] + 1).cast("int"), m["len"].cast("int"))))
+
+
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Rows of (conv_id, turn, role, text) as messages that reply to the turn before."""
     scratch = Scratch(conversations.sparkSession)
@@ -119,10 +154,10 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, formatted) of every conversation."""
+    """(conv_id, formatted, mask) of every conversation."""
     messages = conversation_messages(conversations)
     roots = messages.select(F.col("node").alias("tree"), "conv_id")
-    return format_paths(messages).join(roots, "tree").select("conv_id", "formatted")
+    return format_paths(messages).join(roots, "tree").select("conv_id", "formatted", "mask")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -133,8 +168,7 @@ def op4_format_chats(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], rows.schema)
     done = format_conversations(rows.unionByName(probe)).withColumn("turns", read_turns(F.col("formatted")))
     all_of = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), lambda t: t["text"])
-    return done.withColumn("loss", F.array_join(loss, "")).select(
+    return done.withColumn("loss", F.array_join(masked(F.col("formatted"), F.col("mask")), "")).select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(all_of, ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
