@@ -2,12 +2,15 @@ r"""Secret scans: three fixed patterns, and a guess-cost search over values in c
 
 The patterns find assignments, access keys and hexadecimal runs. Beyond them, every value that a wider set of
 credential words introduces is cut, by dynamic programming, into the segments that a guesser would try -
-words, dates, repeats, keyboard walks, alphabetic or numeric sequences, brute-force spans - so that the whole
-takes the fewest guesses. A value that still takes ``least_bits`` bits or more is a secret of kind ``guess``.
+words, dates, repeats, keyboard walks, alphabetic or numeric sequences, hosts, joints between them, brute-force
+spans - so that the whole takes the fewest guesses. A value that still takes ``least_bits`` bits or more is a secret
+of kind ``guess``. Words are a fixed list and then the commonest of the corpus, counted once for each document over
+all documents, what follows ``:`` and ``=`` left out so that no secret makes itself a word.
 
 Defined results: null and empty texts have no spans; positions count code points, ends are exclusive; added
-spans never overlap a pattern's span; rows that repeat an id are scanned each; an empty table gives an empty
-one; extra columns are ignored.
+spans never overlap a pattern's span; bits are counted up to ``MOST_BITS``, where the search for fewer ends; rows
+that repeat an id are scanned each, but a text counts its words as often as it is there; an empty table gives an
+empty one; extra columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -20,11 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import lean_batches
+from quiverdf.llm._shared import ascii_lower, lean_batches, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as a power of two, from which a value counts as a secret.
 LEAST_BITS = 42.0
+#: Bits up to which values are told apart.
+MOST_BITS = 256.0
+#: Words of the corpus that guessers try (what is broadcast has no more), documents that each is in at least, letters.
+DICTIONARY, LEAST_DOCUMENTS, SHORTEST, LONGEST = 20_000, 10, 3, 24
 #: The base patterns: fixed values.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -37,6 +44,8 @@ CONTEXT = re.compile(
     re.I | re.A,
 )
 QUOTES = "\"'`,;)]}>."
+#: What joins the words of prose, addresses and paths.
+JOINTS = re.compile(r"[-_./:@'&?#%+~\u2019]+")
 
 #: Words that guessers try first, the commonest first.
 WORDS = (
@@ -49,7 +58,6 @@ WORDS = (
     "money power magic angel heaven jesus the and you for this that with from have your are not"
 ).split()
 RANK = {w: math.log2(i + 2) for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 #: Keys beside each key: those beside it in its row, and above and below.
 BESIDE = {
@@ -66,87 +74,109 @@ DATE = re.compile(
     r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
     r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d"
 )
+#: A host at the beginning of a value, or behind the @ of an address.
+HOST = re.compile(r"(?:[a-z]{2,9}://)?(?:[a-z0-9-]{1,63}\.){1,6}(?:com|org|net|edu|gov|info|io|dev|de|fr|es|uk|eu)(?![a-z0-9.-])(?::\d{2,5})?")
 _ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("@4301$5!7", "aaeoissit")
 #: Bits to open a segment of any kind: the guesser tries kinds and places too.
 OPEN = 2.0
+_DIGIT, _SMALL, _LARGE, _MARK = (math.log2(n) for n in (10, 26, 26 * 4, 33))
 
 
 def char_bits(c: str) -> float:
     """Bits of one brute-forced character: the size of its class; a capital takes two more, so that letters of
     random case take a bit more each than letters of one."""
-    return math.log2(10 if c.isdigit() else 26 * 4 if c.isupper() else 26 if c.isalpha() else 33)
+    return _DIGIT if c.isdigit() else _LARGE if c.isupper() else _SMALL if c.isalpha() else _MARK
 
 
-def run_ends(n: int, goes_on) -> list[int]:
-    """For every i the end of the longest stretch from i in which each place k > i has ``goes_on(k)``."""
-    ends = [n] * n
-    for i in range(n - 2, -1, -1):
-        ends[i] = ends[i + 1] if goes_on(i + 1) else i + 1
-    return ends
+def ranked(words: list[str]) -> dict[str, float]:
+    """Bits of each word to try: the fixed ones first, then ``words`` in their order."""
+    return {w: math.log2(i + 2) for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+
+
+RANK = ranked([])
 
 
 class Segments:
-    """The structured segments of a value: ``at(i)`` gives (end, bits, kind) of those from i."""
-
-    def __init__(self, value: str):
-        self.value, n = value, len(value)
-        self.low = low = value.translate(_ASCII_LOWER)
-        self.plain = low.translate(LEET)
-        self.walks = run_ends(n, lambda k: low[k] in BESIDE.get(low[k - 1], ()))
-        self.steps = [
-            run_ends(n, lambda k, d=d: low[k].isascii() and low[k].isalnum() and ord(low[k]) - ord(low[k - 1]) == d)
-            for d in (1, -1)
-        ]
-        # same[u][i]: how many characters from i on equal those u later.
-        self.same = {u: [e - i for i, e in enumerate(run_ends(n + 1, lambda k, u=u: k - 1 + u < n and value[k - 1] == value[k - 1 + u]))] for u in (1, 2, 3, 4)}
+    """The structured segments of a value: ``at(i)``, for i in ascending order, gives (end, bits, kind) of those from
+    i. Of each kind of run only the end of the present one is held, however long the value."""
+
+    def __init__(self, value: str, rank: dict[str, float] = RANK):
+        self.value, self.rank, self.n = value, rank, len(value)
+        self.low = value.translate(_ASCII_LOWER)
+        self.plain = self.low.translate(LEET)
+        self.ends: dict = {}
+
+    def _end(self, kind, i: int, goes_on) -> int:
+        """The first place from i on at which ``goes_on`` does not hold."""
+        end = self.ends.get(kind, -1)
+        if end < i:
+            end = i
+            while end < self.n and goes_on(end):
+                end += 1
+            self.ends[kind] = end
+        return end
 
     def at(self, i: int) -> Iterator[tuple[int, float, str]]:
-        value, low, n = self.value, self.low, len(self.value)
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        value, low, n = self.value, self.low, self.n
+        for j in range(i + SHORTEST, min(n, i + LONGEST) + 1):
             for word, extra in ((low[i:j], 0.0), (self.plain[i:j], 1.0)):
-                if word in RANK:
-                    yield j, RANK[word] + extra + (value[i:j] != low[i:j]), "word"
+                if (bits := self.rank.get(word)) is not None:
+                    yield j, bits + extra + (value[i:j] != low[i:j]), "word"
                     break
         if (m := DATE.match(value, i)) is not None:
             yield m.end(), math.log2(200) if m.end() - i == 4 else math.log2(200 * 365 * 4), "date"
-        for unit, same in self.same.items():
-            times = 1 + (same[i] - 1) // unit
+        if (i == 0 or value[i - 1] == "@") and (m := HOST.match(low, i)) is not None:
+            yield m.end(), 12.0, "host"
+        if JOINTS.match(value[i]):
+            yield i + 1, 1.0, "joint"
+        for unit in (1, 2, 3, 4):
+            # How many characters from i on equal those `unit` later.
+            same = self._end(unit, i, lambda k, u=unit: k + u < n and value[k] == value[k + u]) - i
+            times = 1 + same // unit
             if times >= 2 and times * unit >= 3:
                 yield i + times * unit, sum(map(char_bits, value[i : i + unit])) + math.log2(times), "repeat"
-        if self.walks[i] - i >= 4:
-            yield self.walks[i], math.log2(37) + (self.walks[i] - i - 1), "walk"
-        for ends in self.steps:
-            if ends[i] - i >= 3:
-                yield ends[i], math.log2(36 * 2) + math.log2(ends[i] - i), "sequence"
+        end = 1 + self._end("walk", i, lambda k: k + 1 < n and low[k + 1] in BESIDE.get(low[k], ()))
+        if end - i >= 4:
+            yield end, math.log2(37) + (end - i - 1), "walk"
+        for d in (1, -1):
+            end = 1 + self._end(f"step {d}", i, lambda k, d=d: k + 1 < n and low[k + 1].isascii() and low[k + 1].isalnum() and ord(low[k + 1]) - ord(low[k]) == d)
+            if end - i >= 3:
+                yield end, math.log2(36 * 2) + math.log2(end - i), "sequence"
+
 
+def guess_bits(value: str, rank: dict[str, float] = RANK, most: float = math.inf, cuts: bool = True) -> tuple[float, list[tuple[int, int, str]]]:
+    """The least bits over all ways to cut ``value``, and, if ``cuts``, the cut: (start, end, kind) in order.
 
-def guess_bits(value: str) -> tuple[float, list[tuple[int, int, str]]]:
-    """The least bits over all ways to cut ``value``, and the cut: (start, end, kind) in order."""
+    Ends, with ``most``, as soon as no way takes fewer. Places behind are forgotten unless the cut is asked for."""
     low = value.translate(_ASCII_LOWER)
     if low != value and value.upper() == value:  # all in capitals: one more guess, not one for each
-        bits, cut = guess_bits(low)
-        return bits + 1.0, cut
-    n, structured = len(value), Segments(value)
-    # best[i]: all before i is cut; `brute` is whether a brute-force span ends there and may go on.
-    best = [[math.inf, math.inf] for _ in range(n + 1)]
-    came: list[list] = [[None, None] for _ in range(n + 1)]
-    best[0][0] = 0.0
-    for i in range(n):
-        at, other = min((best[i][b], b) for b in (0, 1))
-        bits = char_bits(value[i])
-        for cost, b in ((at + OPEN + bits, other), (best[i][1] + bits, 1)):
-            if cost < best[i + 1][1]:
-                best[i + 1][1] = cost
-                came[i + 1][1] = (i, b, "brute" if b == 1 and cost == best[i][1] + bits else "open")
-        for j, cost, kind in structured.at(i):
-            if at + OPEN + cost < best[j][0]:
-                best[j][0], came[j][0] = at + OPEN + cost, (i, other, kind)
-    total, b = min((best[n][b], b) for b in (0, 1))
+        bits, cut = guess_bits(low, rank, most, cuts)
+        return min(most, bits + 1.0), cut
+    segments = Segments(value, rank)
+    # Least bits of a cut up to here that ends with a structured segment, by place; and with a brute-force span.
+    ahead: dict[int, float] = {0: 0.0}
+    brute = math.inf
+    came: dict[tuple[int, int], tuple[int, int, str]] = {}
+    for i, c in enumerate(value):
+        closed = ahead.pop(i, math.inf)
+        at, other = min((closed, 0), (brute, 1))
+        if i % 16 == 0 and min(at, *ahead.values(), math.inf) >= most:
+            return most, []
+        opened, onward = at + OPEN + char_bits(c), brute + char_bits(c)
+        if cuts:
+            came[i + 1, 1] = (i, 1, "brute") if onward < opened else (i, other, "open")
+        brute = min(opened, onward)
+        for j, cost, kind in segments.at(i):
+            if at + OPEN + cost < ahead.get(j, math.inf):
+                ahead[j] = at + OPEN + cost
+                if cuts:
+                    came[j, 0] = (i, other, kind)
+    total, b = min((ahead.get(len(value), math.inf), 0), (brute, 1))
     cut: list[tuple[int, int, str]] = []
-    j = n
-    while j:
-        i, before, kind = came[j][b]
+    j = len(value)
+    while cuts and j:
+        i, before, kind = came[j, b]
         if kind == "brute" and cut and cut[-1][2] == "brute*":
             cut[-1] = (i, cut[-1][1], "brute*")
         elif kind in ("brute", "open"):
@@ -155,10 +185,16 @@ def guess_bits(value: str) -> tuple[float, list[tuple[int, int, str]]]:
         else:
             cut.append((i, j, kind))
         j, b = i, before
-    return total, [(i, j, k.rstrip("*")) for i, j, k in reversed(cut)]
+    return min(most, total), [(i, j, k.rstrip("*")) for i, j, k in reversed(cut)]
 
 
-def find_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[int, int, str, float]]:
+def is_prose(value: str) -> bool:
+    """Whether a value is words, in small letters or with a capital first, joined as in compounds, addresses and paths."""
+    parts = [p for p in JOINTS.split(value) if p]
+    return bool(parts) and all(p.isalpha() and (p == p.lower() or p.istitle()) for p in parts)
+
+
+def find_spans(text: str | None, least_bits: float = LEAST_BITS, rank: dict[str, float] = RANK) -> list[tuple[int, int, str, float]]:
     """(start, end, kind, bits) of a whole text, by start and then kind; keys and runs have 0 bits."""
     if not text:
         return []
@@ -166,7 +202,7 @@ def find_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[i
     hinted = any(h in low for h in HINTS)
     found = []
     if hinted:
-        found += [(m.start(), m.end(), "assign", guess_bits(m[2])[0]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), m.end(), "assign", guess_bits(m[2], rank, MOST_BITS, False)[0]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access", 0.0) for m in ACCESS.finditer(text)]
     found += [(m.start(), m.end(), "hex", 0.0) for m in HEX.finditer(text)]
@@ -178,9 +214,9 @@ def find_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[i
             if len(value) < 8 or any(a < end and start < b for a, b in taken):
                 continue
             assigned = m[1].strip(" ") in (":", "=", "=>") or m[0][:6].lower() == "bearer"
-            if not assigned and value.isalpha() and (value == value.lower() or value.istitle()):
-                continue  # prose after a credential word
-            bits, _ = guess_bits(value)
+            if not assigned and is_prose(value):
+                continue  # what goes on after a credential word
+            bits, _ = guess_bits(value, rank, MOST_BITS, False)
             if bits >= least_bits:
                 found.append((start, end, "guess", bits))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
@@ -189,21 +225,35 @@ def find_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[i
 SPANS = "array<struct<start: long, end: long, kind: string, bits: double>>"
 
 
-def scan_column(least_bits: float = LEAST_BITS):
+def common_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """The words of ASCII letters that are in the most documents, ``most`` of them, commonest first; ties by name."""
+    prose = F.regexp_replace(text_of(text_col), r"[:=]>?[\x20\"']*[^\x20\x09-\x0D]+", " ")
+    words = docs.select(F.explode(F.array_distinct(F.split(ascii_lower(prose), "[^a-z]+"))).alias("word"))
+    counted = words.where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in top.collect()]
+
+
+def scan_column(spark, least_bits: float = LEAST_BITS, words: list[str] | None = None):
+    sent = spark.sparkContext.broadcast(ranked(words or []))  # at most DICTIONARY words and the fixed ones
+
     @F.pandas_udf(SPANS)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rank = sent.value
         for texts in batches:
             yield pd.Series(
-                [[{"start": a, "end": b, "kind": k, "bits": c} for a, b, k, c in find_spans(t, least_bits)] for t in texts]
+                [[{"start": a, "end": b, "kind": k, "bits": c} for a, b, k, c in find_spans(t, least_bits, rank)] for t in texts]
             )
 
     return scan
 
 
-def find_secrets(docs: DataFrame, text_col: str = "text", least_bits: float = LEAST_BITS) -> DataFrame:
-    """``docs`` with a column ``secret_spans``: all spans of each whole text."""
+def find_secrets(docs: DataFrame, text_col: str = "text", least_bits: float = LEAST_BITS, words: list[str] | None = None) -> DataFrame:
+    """``docs`` with a column ``secret_spans``: all spans of each whole text. ``words``: the corpus's commonest, counted
+    here if not given."""
     lean_batches(docs.sparkSession)
-    return docs.withColumn("secret_spans", scan_column(least_bits)(F.col(text_col).cast("string")))
+    words = common_words(docs, text_col) if words is None else words[:DICTIONARY]
+    return docs.withColumn("secret_spans", scan_column(docs.sparkSession, least_bits, words)(F.col(text_col).cast("string")))
 
 
 def redact(text: str | None, spans: list, mark: str = "[{kind}]") -> str | None:
@@ -227,4 +277,5 @@ def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
     return find_secrets(docs).select(
         "doc_id", *[of(k).alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(said(base), 256).alias("base_sha256"), said(F.col("secret_spans")).alias("spans"),
+        of(KINDS[-1]).alias("n_guess"), F.coalesce(F.array_max(F.transform("secret_spans", lambda s: s["bits"])), F.lit(0.0)).alias("most_bits"),
     )
