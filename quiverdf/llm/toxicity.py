@@ -1,12 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Executors turn labelled texts into feature numbers; one task then learns from a bounded sample of them
-(``train_rows``), in a fixed order, holding two numbers for each feature. L1 leaves few weights, which are
-broadcast (never more than ``2 ** bits``) to score every whole text.
+Executors turn labelled texts into feature numbers; one task then learns from a bounded sample of them (at most
+``TRAIN_ROWS`` rows with ``TRAIN_FEATURES`` numbers), in a fixed order, holding two numbers for each feature. The
+strengths of L1 that are tried learn side by side in one pass. L1 leaves few weights, which are broadcast (never
+more than ``2 ** bits``) to score every whole text.
 
 Defined results: null and empty texts have no features and get the intercept's score; rows without a label
-or with a null one are not learnt from; of labels that repeat a document the larger holds; without any toxic
-row to learn from every score is 0; rows that repeat an id are scored each; an empty table gives an empty one.
+or with a null one are not learnt from; of labels that repeat a document the larger holds, of labelled texts that
+repeat an id one is learnt from, that with the least hash; without any toxic row to learn from every score is 0; rows
+that repeat an id are scored each; an empty table gives an empty one; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import Scratch
+from quiverdf.llm._shared import Scratch, prefix_of
 
-#: Labelled rows that are learnt from at most; features; passes over the sample.
-TRAIN_ROWS, BITS, PASSES = 20_000, 20, 5
+#: Labelled rows that are learnt from at most, and feature numbers that they have at most (256 MB); passes over them.
+TRAIN_ROWS, TRAIN_FEATURES, BITS, PASSES = 20_000, 64_000_000, 20, 5
 ALPHA, BETA, L2 = 2.0, 1.0, 1.0
 #: Strengths of L1 that are tried on a part of the sample; the best on the other part is used.
 L1_TRIED = (0.5, 1.0, 2.0, 4.0, 8.0)
@@ -33,22 +35,25 @@ FOLDS = 5
 _WORD = re.compile(r"\w+")
 #: Words whose codes a worker remembers at most.
 KNOWN = 65_536
-_known: dict[str, int] = {}
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Codes(dict):
+    """The 8 bytes of words' codes, made when a word is first asked for; at most KNOWN are remembered."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        code = self[word] = zlib.crc32(word.encode("utf-8", "replace")).to_bytes(8, "little")
+        return code
+
+
+_known = _Codes()
+
+
 def word_codes(text: str | None) -> np.ndarray:
     """A 32-bit code for each word, lower-cased."""
-    words = _WORD.findall(text.lower()) if text else []
-    if len(_known) > KNOWN:
-        _known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        code = _known.get(w)
-        if code is None:
-            code = _known[w] = zlib.crc32(w.encode("utf-8", "replace"))
-        out[i] = code
-    return out
+    return np.frombuffer(b"".join(map(_known.__getitem__, _WORD.findall(text.lower()) if text else [])), "<u8")
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -63,24 +68,28 @@ def features(text: str | None, bits: int = BITS) -> np.ndarray:
 
 
 class Ftrl:
-    """Per-coordinate FTRL-proximal with L1 and L2; coordinate ``2 ** bits`` is the intercept."""
+    """Per-coordinate FTRL-proximal with L1 and L2; coordinate ``2 ** bits`` is the intercept.
 
-    def __init__(self, bits: int = BITS, l1: float = L1_TRIED[0], alpha=ALPHA, beta=BETA, l2=L2):
-        self.z, self.n = np.zeros((2, 2**bits + 1))
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    ``l1`` may be several strengths: as many models then learn side by side."""
 
-    def weights(self, at) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        rate = (self.beta + np.sqrt(n)) / self.alpha + self.l2
-        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / rate)
+    def __init__(self, bits: int = BITS, l1=L1_TRIED[0], alpha=ALPHA, beta=BETA, l2=L2):
+        self.l1 = np.atleast_1d(np.asarray(l1, float))
+        self.z, self.n = np.zeros((2, 2**bits + 1, len(self.l1)))
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
+
+    def _weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        over = np.abs(z) - self.l1
+        return np.where(over > 0, -np.copysign(over, z) / ((self.beta + root) / self.alpha + self.l2), 0.0)
+
+    def weights(self, model: int = 0) -> np.ndarray:
+        return self._weights(self.z, np.sqrt(self.n))[:, model]
 
     def learn(self, at: np.ndarray, label: int) -> None:
         """One step over the features of a row, the intercept's number among them."""
         z, n = self.z[at], self.n[at]
         root = np.sqrt(n)
-        w = (np.copysign(self.l1, z) - z) / ((self.beta + root) / self.alpha + self.l2)
-        w[np.abs(z) <= self.l1] = 0.0
-        g = squash(w.sum()) - label
+        w = self._weights(z, root)
+        g = np.array([squash(x) for x in w.sum(axis=0).tolist()]) - label
         n += g * g
         self.z[at] = z + g - (np.sqrt(n) - root) / self.alpha * w
         self.n[at] = n
@@ -91,27 +100,29 @@ def fitted(seen: list[tuple[np.ndarray, int]], bits: int = BITS, passes: int = P
 
     seen = [(np.append(at, 2**bits), y) for at, y in seen]  # with the intercept
 
-    def fit(rows: list, l1: float, passes: int) -> Ftrl:
+    def fit(rows: list, l1, passes: int) -> Ftrl:
         model = Ftrl(bits, l1)
         for _ in range(passes):
             for at, y in rows:
                 model.learn(at, y)
         return model
 
-    def loss(model: Ftrl, rows: list) -> float:
-        w = model.weights(slice(None))
-        return -sum(np.log(max(1e-9, p if y else 1 - p)) for at, y in rows for p in [squash(w[at].sum())])
+    tried = fit([x for i, x in enumerate(seen) if i % 5], L1_TRIED, TRY_PASSES)
+
+    def loss(model: int) -> float:
+        w = tried.weights(model)
+        return -sum(math.log(max(1e-9, p if y else 1 - p)) for at, y in seen[::5] for p in [squash(w[at].sum())])
 
-    kept, held = [x for i, x in enumerate(seen) if i % 5], seen[::5]
-    return fit(seen, min(L1_TRIED, key=lambda l1: loss(fit(kept, l1, TRY_PASSES), held)), passes)
+    return fit(seen, L1_TRIED[min(range(len(L1_TRIED)), key=loss)], passes)
 
 
 def squash(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-min(35.0, max(-35.0, x))))
 
 
-def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero weights (at, value) learnt from rows of (text, label, place), in the order of place."""
+def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES, most_features: int = TRAIN_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Non-zero weights (at, value) learnt from rows of (text, label, place), in the order of place, of the first
+    rows that have at most ``most_features`` numbers together."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,12 +131,15 @@ def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES) -> tuple[np.n
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = [(np.frombuffer(a, np.int32), y) for b in batches for a, y in zip(b["at"], b["label"], strict=True)]
-        model = fitted(seen, bits, passes) if any(y for _, y in seen) else Ftrl(bits)
-        w = model.weights(slice(None))
+        w = fitted(seen, bits, passes).weights() if any(y for _, y in seen) else np.zeros(1)
         at = np.flatnonzero(w)
         yield pd.DataFrame({"at": [at.astype(np.int32).tobytes()], "w": [w[at].astype(np.float64).tobytes()]})
 
-    encoded = rows.select("text", "label", "place").mapInPandas(encode, "place long, label int, at binary")
+    scratch = Scratch(rows.sparkSession)
+    encoded = scratch.keep(rows.select("text", "label", "place").mapInPandas(encode, "place long, label int, at binary"))
+    sizes = encoded.select("place", (F.octet_length("at") / 4).cast("long").alias("n"))  # a row for each of TRAIN_ROWS
+    room = prefix_of(sizes, [], ["place"], "n", "before").where(F.col("before") + F.col("n") <= most_features).select("place")
+    encoded = encoded.join(F.broadcast(room), "place", "left_semi")
     got = (
         encoded.repartition(1).sortWithinPartitions("place").mapInPandas(fit, "at binary, w binary").first()
     )  # one row: the weights
@@ -141,7 +155,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
         .orderBy(place).limit(most).select("doc_id", "label", place.alias("place"))
     )
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows
+    # A row for each id, combined before the shuffle, however often ids repeat.
+    one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), F.first("label").alias("label"), F.first("place").alias("place"))
+    return one.select(F.col("t.text").alias("text"), "label", "place")
 
 
 def score_column(spark, model: tuple[np.ndarray, np.ndarray], bits: int = BITS):
