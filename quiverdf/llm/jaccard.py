@@ -2,13 +2,15 @@
 
 Documents with the same set of word n-grams stand for each other. Of the rest, those that share a band of
 MinHash values meet in that band's bucket; buckets with the same members are visited once, large ones block
-by block, and in each every pair that meets there first is verified on the full sets of n-grams. A visit
-gives one row for each member - links found and the smallest member of its part - never a row for a pair.
-Connected components over these rows are the classes.
+by block, and in each every pair that meets there first is verified on the full sets of n-grams: what a pair
+shares with one member of the bucket bounds what it shares with each other, so that among many variants of one
+text most pairs are settled by their sizes alone. A visit gives one row for each member - links found and the
+smallest member of its part - never a row for a pair. Connected components over these rows are the classes.
 
 Defined results: words are runs without white space, in lower case; texts with fewer than ``n`` words are one
 n-gram of them all; texts without words (null ones too) equal each other and nothing else; rows that repeat
-an id are separate documents; nulls come last where the smallest id is taken; empty tables give empty ones.
+an id are separate documents; ids may be of any type that strings give back; nulls come last where the smallest id
+is taken; empty tables give empty ones; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import Scratch, components, identified, join_counted, text_of
+from quiverdf.llm._shared import Scratch, components, identified, join_counted, rows_of, small, text_of, unused
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
-#: Members that a block of a large bucket has; two blocks are in memory at once.
-BLOCK = 1_024
+#: Members that a block of a large bucket has about, and bytes of their n-grams; two blocks are in memory at once.
+BLOCK, BLOCK_BYTES = 2_048, 8_000_000
 #: Words whose codes a worker remembers at most.
 KNOWN = 65_536
-_known: dict[str, int] = {}
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _MIX = _rng.integers(1, 2**63, (2, 1024), dtype=np.uint64) | np.uint64(1)
@@ -38,21 +39,30 @@ _MIX = _rng.integers(1, 2**63, (2, 1024), dtype=np.uint64) | np.uint64(1)
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows of each): the most selective rows with which ``most`` hashes still give the recall at the threshold."""
-    fits = [(math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)), r) for r in range(1, 33) if threshold**r < 1]
-    return max(((b, r) for b, r in fits if b * r <= most), key=lambda x: x[1], default=(most, 1))
+    if threshold >= 1:
+        return 1, 1  # equal sets share every hash
+    fits = [(math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)), r) for r in range(1, 33)]
+    fits = [(b, r) for b, r in fits if b * r <= most]
+    if not fits:
+        raise ValueError(f"{most} hashes cannot reach a recall of {recall} at a similarity of {threshold}")
+    return max(fits, key=lambda x: x[1])
+
+
+class _Codes(dict):
+    """The 8 bytes of words' codes, made when a word is first asked for; at most KNOWN are remembered."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN:
+            self.clear()
+        code = self[word] = xxhash.xxh64_digest(word.encode("utf-8", "replace"))
+        return code
+
+
+_known = _Codes()
 
 
 def word_codes(text: str) -> np.ndarray:
-    words = text.lower().split()
-    if len(_known) > KNOWN:
-        _known.clear()
-    out = []
-    for w in words:
-        code = _known.get(w)
-        if code is None:
-            code = _known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
-        out.append(code)
-    return np.array(out, np.uint64)
+    return np.frombuffer(b"".join(map(_known.__getitem__, text.lower().split())), "<u8")
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
@@ -81,34 +91,22 @@ def band_codes(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, n: int, bands: int, height: int) -> DataFrame:
-    """(__row, doc_id, grams, bands) from (__row, doc_id, text): ``grams`` names the set of n-grams."""
+    """(__row, doc_id, grams, len, bands) from (__row, doc_id, text): ``grams`` names the set of n-grams."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, n) for t in b["text"]]
             yield pd.DataFrame({
-                "__row": b["__row"], "doc_id": b["doc_id"].astype("Int64"),
+                "__row": b["__row"], "doc_id": b["doc_id"], "len": [len(s) for s in sets],
                 "grams": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "bands": [band_codes(s, bands, height) for s in sets],
             })
 
-    return rows.mapInPandas(sign, "__row long, doc_id long, grams binary, bands array<long>")
-
-
-class Forest:
-    """Union of numbers from 0, the smaller becoming the root."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
+    of_id = rows.schema["doc_id"].dataType
+    # As strings, which Python leaves as they are.
+    said = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
+    signed = said.mapInPandas(sign, "__row long, doc_id string, len long, grams binary, bands array<long>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast(of_id))
 
 
 def verify_block(members: pd.DataFrame, band: int, crossed: bool, threshold: float) -> list[tuple[int, int, int]]:
@@ -124,28 +122,53 @@ def verify_block(members: pd.DataFrame, band: int, crossed: bool, threshold: flo
     copies, nodes = members["copies"].to_numpy(), members["node"].to_numpy()
     distinct, at = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    marked, links, forest = np.zeros(len(distinct), bool), np.zeros(len(sets), np.int64), Forest(len(sets))
-    for i in range(len(sets) - 1):
-        fits = (codes[i + 1 :, band] == codes[i, band]) & ~(codes[i + 1 :, :band] == codes[i, :band]).any(axis=1)
-        small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-        fits &= small >= threshold * large - 1e-9
-        if crossed:
-            fits &= side[i + 1 :] != side[i]
-        js = np.flatnonzero(fits) + i + 1
-        if not len(js):
-            continue
+    marked, links, part = np.zeros(len(distinct), bool), np.zeros(len(sets), np.int64), np.arange(len(sets))
+
+    def shared(i: int, js: np.ndarray) -> np.ndarray:
+        """How many n-grams member i has in common with each of ``js``, ascending and behind i."""
         own = at[starts[i] : starts[i] + sizes[i]]
         marked[own] = True
         if 4 * len(js) < len(sets) - i:
             common = np.array([np.count_nonzero(marked[at[starts[j] : starts[j] + sizes[j]]]) for j in js])
         else:
-            common = np.add.reduceat(marked[at[starts[i + 1] :]].astype(np.int32), starts[i + 1 :] - starts[i + 1])[js - i - 1]
+            first = js[0]
+            common = np.add.reduceat(marked[at[starts[first] :]].astype(np.int32), starts[first:] - starts[first])[js - first]
         marked[own] = False
-        for j in js[common >= threshold * (sizes[i] + sizes[js] - common) - 1e-9]:
-            links[i] += copies[j]
-            links[j] += copies[i]
-            forest.join(i, int(j))
-    return [(int(nodes[i]), int(links[i]), int(nodes[forest.root(i)])) for i in np.flatnonzero(links)]
+        return common
+
+    def alike(common: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+        return common >= threshold * (sizes[i] + sizes[js] - common) - 1e-9
+
+    # What each shares with the member of middle size, and has besides, bounds what two share with each other.
+    middle = int(np.argsort(sizes, kind="stable")[len(sizes) // 2])
+    marked[at[starts[middle] : starts[middle] + sizes[middle]]] = True
+    inside = np.add.reduceat(marked[at].astype(np.int32), starts)
+    marked[:] = False
+    outside = sizes - inside
+    for i in range(len(sets) - 1):
+        fits = codes[i + 1 :, band] == codes[i, band]
+        if crossed:
+            fits &= side[i + 1 :] != side[i]
+        small, large = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+        fits &= small >= threshold * large - 1e-9
+        js = np.flatnonzero(fits) + i + 1
+        if len(js) and band:
+            js = js[~(codes[js, :band] == codes[i, :band]).any(axis=1)]
+        if not len(js):
+            continue
+        js = js[alike(np.minimum(inside[i], inside[js]) + np.minimum(outside[i], outside[js]), i, js)]
+        linked = alike(np.maximum(0, inside[i] + inside[js] - sizes[middle]), i, js)
+        if not linked.all():
+            open_ = np.flatnonzero(~linked)
+            linked[open_] = alike(shared(i, js[open_]), i, js[open_])
+        js = js[linked]
+        if len(js):
+            links[i] += copies[js].sum()
+            links[js] += copies[i]
+            parts = np.unique(np.append(part[js], part[i]))
+            if len(parts) > 1:
+                part[np.isin(part, parts[1:])] = parts[0]
+    return [(int(nodes[i]), int(links[i]), int(nodes[part[i]])) for i in np.flatnonzero(links)]
 
 
 def near_duplicates(
@@ -156,14 +179,13 @@ def near_duplicates(
     (documents at ``threshold`` or more, copies counted), kept (the first of its class)."""
     scratch = Scratch(docs.sparkSession)
     bands, height = choose_bands(threshold, recall)
-    rows = docs.withColumn("__row", F.col(row_col)) if row_col else identified(scratch, docs)
-    rows = rows.select("__row", F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows_of(scratch, docs, row_col, doc_id=F.col(id_col), text=text_of(text_col))
     signed = scratch.keep(signatures(rows, n, bands, height))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     sets = scratch.keep(
         signed.groupBy("grams")
-        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-        .select("grams", "copies", "bands", F.col("first.__row").alias("node"), "first")
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("len").alias("len"))
+        .select("grams", "copies", "bands", "len", F.col("first.__row").alias("node"), "first")
     )
     visits = _visits(scratch, sets, block)
     found = scratch.keep(_verified(rows, visits, n, threshold))
@@ -186,18 +208,20 @@ def near_duplicates(
 
 def _visits(scratch: Scratch, sets: DataFrame, block: int) -> DataFrame:
     """(node, copies, bands, visits): where each set goes, an array of (key, band, side, crossed)."""
-    each = sets.select("node", F.posexplode("bands").alias("band", "code"))
+    each = sets.select("node", "len", F.posexplode("bands").alias("band", "code"))
     buckets = (
         each.groupBy("band", "code")
-        .agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("low"))
+        .agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("node")).alias("who"), F.min("node").alias("low"), F.sum("len").alias("grams"))
         .where("m > 1")
     )
     # Buckets with the same members: the first band's stands for all.
-    buckets = buckets.groupBy("m", "who", "low").agg(F.min(F.struct("band", "code")).alias("b"))
-    buckets = scratch.keep(buckets.select("b.band", "b.code", F.ceil(F.col("m") / block).alias("blocks")))
+    buckets = buckets.groupBy("m", "who", "low", "grams").agg(F.min(F.struct("band", "code")).alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") * 8 / BLOCK_BYTES))
+    buckets = scratch.keep(buckets.select("bucket", "m", blocks.alias("blocks")))
     own = F.pmod(F.xxhash64("node", "band"), F.col("blocks"))
+    each = each.select("node", "band", "code", F.struct("band", "code").alias("bucket"))
     going = (
-        each.join(buckets, ["band", "code"])
+        join_counted(each, buckets, "bucket", "m", buckets.agg(F.sum("m")).first()[0] or 0)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select(
@@ -252,9 +276,10 @@ def _verified(rows: DataFrame, visits: DataFrame, n: int, threshold: float) -> D
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The first row of each class, with the columns of ``docs``."""
     scratch = Scratch(docs.sparkSession)
-    numbered = identified(scratch, docs)
-    kept = near_duplicates(numbered, row_col="__row", **options).where("kept").select("__row")
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    row = unused(docs, "__row")
+    numbered = identified(scratch, docs, row)
+    gone = near_duplicates(numbered, row_col=row, **options).where("NOT kept").select(F.col("__row").alias(row))
+    return numbered.join(small(scratch.keep(gone)), row, "left_anti").drop(row)
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
