@@ -2,7 +2,8 @@
 
 A Misra-Gries sketch over the digests names those that may be frequent. Each of these is then counted
 exactly, map-side first, and its winner broadcast, so that rows of large groups never meet in one task.
-All other digests take the ordinary shuffle, in which no group is larger than the sketch's error.
+All other digests take the ordinary shuffle, combined before it; what the sketch let pass is no larger there than
+its error, and split off by its exact count if it is.
 
 Defined results: a null text is an empty one; null ids come last; of equal rows with equal ids exactly one
 stays; an empty table gives an empty result; other columns are ignored and may have any name.
@@ -10,10 +11,10 @@ stays; an empty table gives an empty result; other columns are ignored and may h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import SPACE, Scratch, heavy_hitters, text_of
+from quiverdf.llm._shared import SPACE, Scratch, heavy_hitters, join_counted, text_of
 
 #: Counters of the sketch, and at most so many digests taken as frequent: this bounds what is broadcast.
 SKETCH_COUNTERS, MOST_HEAVY = 16_384, 2_048
@@ -54,15 +55,12 @@ def exact_dedup(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row_id") == F.col("first.row_id")).alias("kept"), "digest",
     )
-    same = Window.partitionBy("digest")
-    rest = (
-        marked.join(F.broadcast(heavy), "head", "left_anti")
-        .withColumn("first", F.min(order).over(same))
-        .withColumn("group_size", F.count(F.lit(1)).over(same))
-        .select(
-            "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-            (F.col("row_id") == F.col("first.row_id")).alias("kept"), "digest",
-        )
+    # The rest is combined before the shuffle too; groups that the sketch let pass and are still large are broadcast.
+    rest = marked.join(F.broadcast(heavy), "head", "left_anti").select("doc_id", "digest", "row_id")
+    groups = scratch.keep(rest.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("first")))
+    rest = join_counted(rest, groups, "digest", "group_size", table.count()).select(
+        "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
+        (F.col("row_id") == F.col("first.row_id")).alias("kept"), "digest",
     )
     return hot.unionByName(rest)
 
