@@ -234,3 +234,53 @@ def test_groups_of_up_to_a_shard_are_not_cut_in_advance(docs):
     out = sharding.balanced_shards(rows, shards=8).collect()
     assert set(Counter(r["shard"] for r in out).values()) == {100}
     assert max(Counter(r["shard"] for r in out if r["doc_id"] >= 710).values()) >= 80
+
+
+def test_cut_links_brute_force(docs):
+    rng = random.Random(4)
+    texts = [f"group {i}" for i in range(40) for _ in range(rng.randrange(1, 9))] + ["large"] * 60 + ["", None]
+    rows = balanced_shards(docs(texts), shards=6).collect()
+    check_shards(rows, 6)
+    for r in rows:
+        same = [o for o in rows if (texts[o["doc_id"]] or "") == (texts[r["doc_id"]] or "")]
+        assert r["n_links"] == len(same) - 1
+        assert r["cut"] == sum(o["shard"] != r["shard"] for o in same)
+    assert sum(r["cut"] for r in rows) < sum(r["cut_before"] for r in rows)
+
+
+def test_links_draw_neighbours_together(spark, docs):
+    """Cliques of eight in a chain, between documents without links: the cut edges, counted one by one, become few."""
+    rng = random.Random(5)
+    edges = [(8 * c + i, 8 * c + j) for c in range(12) for i in range(8) for j in range(i)] + [(8 * c, 8 * c + 8) for c in range(11)]
+    edges += [(3, 3), (2, 1), (5, 10_000), edges[0]]
+    links = spark.createDataFrame(rng.sample(edges, len(edges)), "a long, b long")
+    table = docs([f"t{i}" for i in range(296)])
+    rows = balanced_shards(table, shards=4, turns=12, links=links).collect()
+    check_shards(rows, 4)
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    real = {tuple(sorted(e)) for e in edges if e[0] != e[1] and max(e) < 296}
+    for r in rows:
+        mine = [e for e in real if r["doc_id"] in e]
+        assert r["n_links"] == len(mine) and r["cut"] == sum(shard[a] != shard[b] for a, b in mine)
+    before, after = (sum(r[c] for r in rows) // 2 for c in ("cut_before", "cut"))
+    assert before > 200 and after < before / 4
+    again = {r["doc_id"]: r["shard"] for r in balanced_shards(table, shards=4, turns=12, links=links).collect()}
+    assert again == shard
+    assert balanced_shards(table.limit(0), links=links).count() == 0
+    assert {r["n_links"] for r in balanced_shards(table, shards=4, links=links.limit(0)).collect()} == {0}
+
+
+def test_loss_mask_is_the_learnt_texts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a<|im_end|>\\"), (1, 2, "assistant", ""), (1, 3, "assistant", "🙂é"), (2, 0, "user", None)]
+    got = {r["conv_id"]: r for r in chat.format_conversations(conversations(spark, rows)).withColumn("t", chat.masked(F.col("formatted"), F.col("mask"))).collect()}
+    assert got[1]["t"] == ["a<|im_end|>\\", "", "🙂é"] and got[2]["t"] == []
+    for m in got[1]["mask"]:
+        assert got[1]["formatted"][m["start"] + m["len"] :].startswith(chat.END)
+
+
+def test_circles_of_replies(spark):
+    """2 -> 3 -> 4 -> 2 with 5 below 3; 7 replies to itself, 8 to 7; 1 is a root."""
+    rows = [(1, None), (2, 4), (3, 2), (4, 3), (5, 3), (7, 7), (8, 7)]
+    messages = spark.createDataFrame([(n, p, "user", f"m{n}", 1.0) for n, p in rows], "node long, parent long, role string, text string, score double")
+    out = chat.format_paths(messages, 5).withColumn("t", chat.read_turns(F.col("formatted"))).collect()
+    assert {(r["tree"], tuple(x["text"] for x in r["t"])) for r in out} == {(1, ("m1",)), (2, ("m2", "m3", "m4")), (2, ("m2", "m3", "m5")), (7, ("m7", "m8"))}

@@ -12,7 +12,8 @@ from quiverdf.llm import jaccard as J
 from quiverdf.llm import passages as P
 from quiverdf.llm._shared import Scratch, components
 from quiverdf.llm.decontamination import contamination, proximity_matches, without_contaminated
-from quiverdf.llm.licences import notices_of, scan_licences
+from quiverdf.llm import licences as L
+from quiverdf.llm.licences import scan_licences
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -70,6 +71,35 @@ def test_contamination_awkward(spark, awkward):
     assert contamination(awkward.limit(0), items).count() == 0
 
 
+def brute_near(texts, items, window=10, slop=2):
+    """For each text: phrases with proximity matches only, the rarest term, counted over all texts, standing in place."""
+    words = [lower(t) for t in texts]
+    count = Counter(w for t in words for w in t)
+    phrases = {tuple(q[s : s + min(window, len(q))]) for _, t in items for q in [lower(t)] if q for s in range(max(1, len(q) - window + 1))}
+    out = []
+    for w in words:
+        n = 0
+        for p in phrases:
+            if not all(count[x] for x in p):
+                continue
+            off = min(range(len(p)), key=lambda i: (count[p[i]], i))
+            starts = [at - off for at, x in enumerate(w) if x == p[off] and at - off >= -slop]
+            exact = any(tuple(w[at : at + len(p)]) == p for at in starts if at >= 0)
+            near = any(all(x in w[max(0, at + i - slop) : max(0, at + i + slop + 1)] for i, x in enumerate(p)) for at in starts)
+            n += near and not exact
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_matches_brute_force(spark, docs, seed):
+    rng = random.Random(seed)
+    items = [(i, " ".join(prose(rng, rng.choice([1, 2, 3, 5, 12]), 9))) for i in range(8)] + [(8, None), (None, "w1 w2 w3"), (9, "w1 w2 w3")]
+    texts = [" ".join(prose(rng, rng.randrange(0, 25), 9)) for _ in range(60)] + [None, ""]
+    got = {r["doc_id"]: r["n_near"] for r in contamination(docs(texts), benchmark(spark, items)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_near(texts, items)
+
+
 def test_proximity(spark, docs):
     table = docs(["a b c d", "a x b y c d", "a b c e", "d c b a"])
     got = {(r["__row"], r["start"]) for r in proximity_matches(table, benchmark(spark, [(1, "a b c d")]), slop=2).collect()}
@@ -307,6 +337,109 @@ def test_licences_awkward(spark, awkward):
     assert scan_licences(long).first()["licence"] == "MIT"
 
 
-def test_notices_are_whole_lines(spark):
-    text = "first\r\n  Copyright me  \nlast"
-    assert spark.range(1).select(notices_of(F.lit(text))).first()[0] == ["Copyright me"]
+def test_every_template_finds_itself(spark):
+    """Alone, in a file of code behind a header, and as a sentence of a long line."""
+    code = "def run ( ) : return 1 " * 40
+    rows = []
+    for i, (_, text) in enumerate(L.TEMPLATES):
+        rows += [(f"a{i}/x", text), (f"b{i}/x", f"{text}\n\n{code}\n\n{code}")]
+        if len(text) < 120:
+            rows.append((f"c{i}/x", f"{code}. {text}. {code}"))
+    rows += [(f"n{j}/x", code + f" word{j} other{j}") for j in range(60)]
+    got = {r["path"]: (r["own_licence"], r["cosine"]) for r in scan_licences(files(spark, rows)).collect()}
+    for i, (name, _) in enumerate(L.TEMPLATES):
+        assert got[f"a{i}/x"][1] > 0.999 and got[f"b{i}/x"][1] > 0.999
+        same = {n for n, t in L.TEMPLATES if t.lower().split()[:6] == L.TEMPLATES[i][1].lower().split()[:6]} | {name}
+        assert got[f"a{i}/x"][0] in same and got.get(f"c{i}/x", (name,))[0] in same
+    assert all(got[f"n{j}/x"] == (None, None) for j in range(60))
+
+
+def test_equal_cosines_take_the_first_name(spark):
+    templates = (("B", "alpha beta gamma"), ("A", "alpha beta gamma"))
+    assert scan_licences(files(spark, [("x", "alpha beta gamma"), ("y", "delta")]), templates=templates).where("path = 'x'").first()["licence"] == "A"
+
+
+def test_nested_folders_of_documents(spark, docs):
+    table = docs([(0, "Released under the MIT License."), (1, "x"), (10, "Licensed under CC BY-NC 4.0."), (11, "y"), (111, "z")])
+    got = {r["path"].split("/")[-1]: (r["licence"], len(r["path"].split("/"))) for r in scan_licences(L.document_files(table)).collect()}
+    assert got == {"0": ("MIT", 2), "1": ("CC-BY-NC-4.0", 5), "10": ("CC-BY-NC-4.0", 4), "11": ("CC-BY-NC-4.0", 5), "111": ("MIT", 5)}
+
+
+# --- row identity --------------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def scattered_files(spark, tmp_path):
+    """Documents in 40 files, and a function that has them dealt to tasks in another way."""
+    rng = random.Random(9)
+    texts = [" ".join(prose(rng, 60, 10**6)) for _ in range(100)]
+    rows = [(i, texts[i % 100] + (" more" if i >= 100 else ""), "en", f"s{i % 3}", 1) for i in range(160)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(40).write.parquet(str(tmp_path / "docs"))
+
+    def redeal(n):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+
+    redeal(2)
+    yield spark.read.parquet(str(tmp_path / "docs")), redeal
+    for c in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.minPartitionNum"):
+        spark.conf.unset(c)
+
+
+@pytest.mark.parametrize("work", ["near", "contaminated", "mixed", "sharded", "passages"])
+def test_rows_keep_their_numbers_however_files_are_dealt(spark, scattered_files, work):
+    """Plans are built under one dealing and read under another."""
+    from quiverdf.llm.mixing import mixed_documents
+    from quiverdf.llm.sharding import sharded_documents
+
+    docs, redeal = scattered_files
+    first = docs.orderBy("doc_id").first()["text"]
+    items = spark.createDataFrame([(1, " ".join(first.split()[5:20]))], "item_id long, text string")
+    out = {
+        "near": lambda: J.without_near_copies(docs), "contaminated": lambda: without_contaminated(docs, items),
+        "mixed": lambda: mixed_documents(docs), "sharded": lambda: sharded_documents(docs, shards=4),
+        "passages": lambda: P.repeated_passages(docs),
+    }[work]()
+    redeal(16)
+    ids = [r["doc_id"] for r in out.collect()]
+    want = {"near": 100, "contaminated": 158, "sharded": 160}.get(work)
+    assert want is None or len(ids) == len(set(ids)) == want
+    if work == "mixed":
+        assert {1, 2} >= set(Counter(ids).values()) and len(ids) > 200
+    if work == "passages":
+        assert len(set(ids)) == 60
+
+
+def test_ids_of_any_type_and_clashing_names(spark, docs):
+    from quiverdf.llm.mixing import mixed_documents
+
+    rng = random.Random(3)
+    base = " ".join(prose(rng, 80, 10**6))
+    table = docs([base, base, base + " end", " ".join(prose(rng, 80, 10**6))])
+    named = table.select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), "text", "source", F.lit(7).alias("__row"), F.lit(8).alias("__copies"), F.lit(9).alias("_metadata"))
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in J.near_duplicates(named).collect()} == {("doc-0", "doc-0", 2), ("doc-1", "doc-0", 2), ("doc-2", "doc-0", 2), ("doc-3", "doc-3", 0)}
+    assert all(r["doc_id"].startswith("doc-") and r["other_id"].startswith("doc-") for r in P.repeated_passages(named).collect())
+    for out in (J.without_near_copies(named), mixed_documents(named), without_contaminated(named, benchmark(spark, [(1, "none of these")]))):
+        assert out.columns == named.columns
+        assert {(r["__row"], r["__copies"], r["_metadata"]) for r in out.collect()} == {(7, 8, 9)}
+
+
+def test_many_variants_of_one_text(docs):
+    """Links of a large bucket, most of them settled by sizes alone, against all pairs."""
+    rng = random.Random(11)
+    base, texts = prose(rng, 70, 10**6), []
+    for _ in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(20)}"
+        texts.append(" ".join(w[: rng.choice([70, 70, 60])]))
+    links, label = brute_links(texts)
+    rows = {r["doc_id"]: r for r in J.near_duplicates(docs(texts), block=64).collect()}
+    assert [rows[i]["class_id"] for i in range(400)] == label
+    assert [rows[i]["n_links"] for i in range(400)] == [len(x) for x in links]
+
+
+def test_bands_that_cannot_reach_the_recall():
+    with pytest.raises(ValueError):
+        J.choose_bands(0.02, 0.9999)
+    assert J.choose_bands(1.0) == (1, 1)

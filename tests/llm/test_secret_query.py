@@ -9,10 +9,11 @@ FOLDER = "/root/testdata/sf0.01"
 
 def test_digests(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    rank = S.ranked(S.common_words(spark.read.parquet(f"{FOLDER}/documents.parquet")))
     rows = S.op3_secret_scan(spark, FOLDER).collect()
     assert len(rows) == len(texts) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows) > 0
     for r in rows:
-        said = [(k, f"{k}:{a}:{b}") for a, b, k, _ in S.find_spans(texts[r["doc_id"]])]
+        said = [(k, f"{k}:{a}:{b}") for a, b, k, _ in S.find_spans(texts[r["doc_id"]], rank=rank)]
         assert r["spans"] == ",".join(x for _, x in said)
         base = [x for k, x in said if k != "guess"]
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()

@@ -88,6 +88,32 @@ def test_guess_adds_and_never_overlaps():
     assert "x7Kq" not in cleaned and "[guess]" in cleaned and "[assign]" in cleaned and S.redact(None, []) is None
 
 
+@pytest.mark.parametrize("text", [
+    "login https://www.example.com/help/page", "secret counter-revolutionary", "token classification-based", "login username@example.com",
+])
+def test_prose_and_addresses_are_no_secrets(text):
+    assert S.find_spans(text) == []
+
+
+def test_words_of_the_corpus_are_guessed(docs):
+    """A value of common words is weak, whatever the fixed list; one that only follows = is no common word."""
+    texts = [f"the zebrafish and the rhododendron number {i}, pwd = qzjxkvbwmfhytr" for i in range(12)] + [None, "pwd = zebrafish"]
+    table = docs([*texts, "login: rhododendron1"])
+    words = S.common_words(table)
+    assert {"zebrafish", "rhododendron"} <= set(words) and "qzjxkvbwmfhytr" not in words
+    got = {r["doc_id"]: [s["kind"] for s in r["secret_spans"]] for r in S.find_secrets(table).collect()}
+    assert all(got[i] == ["guess"] for i in range(12)) and got[13] == got[14] == []
+    assert S.common_words(table, most=1) == ["and"] or len(S.common_words(table, most=1)) == 1
+    assert S.common_words(table.limit(0)) == []
+
+
+def test_bits_end_at_the_most():
+    value = "x7Kq#2pLz9" * 50_000
+    assert S.guess_bits(value, most=S.MOST_BITS, cuts=False) == (S.MOST_BITS, [])
+    for value in ("password1", "x7Kq#2pL", "P@ssw0rd!", "ABCDEFGH1"):
+        assert S.guess_bits(value, most=S.MOST_BITS, cuts=False)[0] == S.guess_bits(value)[0]
+
+
 def test_secrets_awkward(awkward, docs):
     rows = S.find_secrets(awkward).collect()
     assert len(rows) == 11 and all(r["secret_spans"] == [] for r in rows)
@@ -143,10 +169,43 @@ def test_toxicity_awkward(spark, awkward):
 def test_ftrl_is_sparse_and_sequential():
     rng = np.random.default_rng(2)
     rows = [(np.append(rng.choice(1_000, 20, replace=False) + 10, i % 2), i % 2) for i in range(400)]
-    w = T.fitted([(a.astype(np.int32), y) for a, y in rows], bits=11).weights(slice(None))
+    w = T.fitted([(a.astype(np.int32), y) for a, y in rows], bits=11).weights()
     assert w[1] > 1 and w[0] < 0 and (np.abs(w) > 0).sum() < 600
 
 
+def test_ftrl_brute_force():
+    """The steps in plain dictionaries, one model after another."""
+    rng = np.random.default_rng(3)
+    rows = [(np.append(rng.choice(60, 7, replace=False), 64).astype(np.int32), int(rng.random() < 0.4)) for _ in range(150)]
+    side = T.Ftrl(6, (0.1, 0.7, 2.0))
+    for at, y in rows * 2:
+        side.learn(at, y)
+    for m, l1 in enumerate((0.1, 0.7, 2.0)):
+        z, n = {}, {}
+
+        def weight(i, z=z, n=n, l1=l1):
+            if abs(z.get(i, 0.0)) <= l1:
+                return 0.0
+            return -(z[i] - math.copysign(l1, z[i])) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+        for at, y in rows * 2:
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i in w:
+                old = n.get(i, 0.0)
+                n[i] = old + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(old)) / T.ALPHA * w[i]
+        assert np.allclose([weight(i) for i in range(65)], side.weights(m), atol=1e-9)
+
+
+def test_repeated_ids_do_not_crowd_the_training(spark, docs):
+    table = docs([(i % 40, f"w{i % 7} x{i % 3}") for i in range(400)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3, "doc_id long, toxic int")
+    rows = T.training_rows(table, labels, 10)
+    assert rows.count() == 10 and T.training_rows(table, labels).count() <= 40
+    assert len(T.train(T.training_rows(table, labels), most_features=0)[0]) == 0
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 
