@@ -98,6 +98,9 @@ def search(lists: DataFrame, queries: DataFrame, c: np.ndarray, k: int, n: int,
         n_of = part.groupBy("qid").agg(F.sum("n").alias("n_compared"))
         found = hits if found is None else found.unionByName(hits)
         counted = n_of if counted is None else counted.unionByName(n_of)
+    if found is None:  # no queries
+        spark = lists.sparkSession
+        return spark.createDataFrame([], "qid long, rank int, vec_id long, dist double"), spark.createDataFrame([], "qid long, n_compared long")
     top = Window.partitionBy("qid").orderBy("dist", "vec_id")
     return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist"), counted
 
@@ -147,15 +150,10 @@ def estimate(q: np.ndarray, centre: np.ndarray, lo, hi, codes: np.ndarray, l1, b
     return 1 + (centre @ centre) - centre @ q - bias - product
 
 
-def search_quantised(lists: DataFrame, docs: DataFrame, queries: DataFrame, c: np.ndarray, k: int, n: int, bits: int, rerank: int = 4, metric: str = "dot") -> DataFrame:
-    """(qid, rank, vec_id, dist): the best rerank x k by estimates, put in order by exact distances."""
-    block = list(blocks_of(queries, 10**9))
-    if not block:
-        return docs.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, dist double")
-    qids, q = block[0]
+def _estimated(lists: DataFrame, qids: np.ndarray, q: np.ndarray, c: np.ndarray, most: int, n: int, bits: int, metric: str) -> DataFrame:
+    """(qid, vec_id, dist): of each partition of the lists the ``most`` best estimates for each of a block of queries."""
     order = np.argsort(squared_distances(q, c) if metric == "euclidean" else -q @ c.T, axis=1, kind="stable")[:, : max(1, min(n, len(c)))]
     wanted = {int(v): np.flatnonzero((order == v).any(1)) for v in np.unique(order)}
-    most = rerank * k
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = [(np.empty(0), np.empty(0, np.int64)) for _ in qids]
@@ -177,7 +175,17 @@ def search_quantised(lists: DataFrame, docs: DataFrame, queries: DataFrame, c: n
         sizes = [len(d) for d, _ in best]
         yield pd.DataFrame({"qid": np.repeat(qids, sizes), "vec_id": np.concatenate([v for _, v in best]), "dist": np.concatenate([d for d, _ in best])})
 
-    found = lists.where(F.col("cluster").isin(list(wanted))).mapInPandas(scan, "qid long, vec_id long, dist double")
+    return lists.where(F.col("cluster").isin(list(wanted))).mapInPandas(scan, "qid long, vec_id long, dist double")
+
+
+def search_quantised(lists: DataFrame, docs: DataFrame, queries: DataFrame, c: np.ndarray, k: int, n: int, bits: int, rerank: int = 4, metric: str = "dot") -> DataFrame:
+    """(qid, rank, vec_id, dist): the best rerank x k by estimates, put in order by exact distances."""
+    most, found = rerank * k, None
+    for qids, q in blocks_of(queries):
+        part = _estimated(lists, qids, q, c, most, n, bits, metric)
+        found = part if found is None else found.unionByName(part)
+    if found is None:  # no queries
+        return docs.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, dist double")
     found = found.groupBy("qid", "vec_id").agg(F.min("dist").alias("dist"))
     top = Window.partitionBy("qid").orderBy("dist", "vec_id")
     short = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= most).select("qid", "vec_id")

@@ -238,6 +238,8 @@ def search(coded: DataFrame, queries: DataFrame, model: PqModel, k: int) -> Data
 
         part = coded.mapInPandas(scan, "qid long, vec_id long, dist double")
         found = part if found is None else found.unionByName(part)
+    if found is None:  # no queries
+        return coded.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, dist double")
     order = Window.partitionBy("qid").orderBy("dist", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "rank", "vec_id", "dist")
 

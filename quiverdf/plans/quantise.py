@@ -15,7 +15,7 @@ from quiverdf.operators import one_bit as B
 from quiverdf.operators import osq as O
 from quiverdf.operators import pq as P
 from quiverdf.operators import scalar_quant as Q
-from quiverdf.plans.registry import asked, asked_throughout, query, r6, scaled, unit
+from quiverdf.plans.registry import asked, query, r6, scaled, unit
 
 LOW, HIGH = -0.3, 0.3
 
@@ -47,7 +47,7 @@ for _bits, _levels in ((1, None), (4, None), (8, None), (8, 256)):
     round(sqrt(list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - (-0.3 + z[2] * 0.6 / {_s})) * (z[1] - (-0.3 + z[2] * 0.6 / {_s}))))), 6) AS rmse FROM k""")(_f)
 
 SQ = _codes(4) + """, d AS (SELECT b.vec_id AS qid, a.vec_id, 1 - (a.p + b.p + (0.6 / 15) * (0.6 / 15) * list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2]))) AS dist
-FROM k a, k b WHERE b.vec_id < 10) """
+FROM k a, k b WHERE b.vec_id % 100 = 0) """
 
 
 @query(SQ + "SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY rank <= 10")
@@ -56,7 +56,7 @@ def scalar_search_4(spark, folder):
     return Q.search(Q.quantised(docs, LOW, HIGH, 4), asked(docs), 10, LOW, HIGH, 4).withColumn("dist", r6("dist"))
 
 
-EXACT = ", x AS (SELECT b.vec_id AS qid, a.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY 1 - list_inner_product(a.v, b.v), a.vec_id) AS r FROM e a, e b WHERE b.vec_id < 10)"
+EXACT = ", x AS (SELECT b.vec_id AS qid, a.vec_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY 1 - list_inner_product(a.v, b.v), a.vec_id) AS r FROM e a, e b WHERE b.vec_id % 100 = 0)"
 
 
 @query(SQ.rstrip() + EXACT + """, g AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS r FROM d)
@@ -205,7 +205,7 @@ o AS (SELECT vec_id, v, c, list_transform(list_zip(v, c), lambda z: z[1] - z[2])
 n AS (SELECT vec_id, v, c, sqrt(list_inner_product(r, r)) AS len, list_transform(r, lambda x: x / sqrt(list_inner_product(r, r))) AS u FROM o),
 d AS (SELECT vec_id, v, c, len, list_transform(u, lambda x: (x > 0)::INT::DOUBLE) AS b, list_sum(list_transform(u, lambda x: abs(x))) / sqrt(64.0) AS fit FROM n),
 q AS (SELECT vec_id AS qid, v AS qv, len AS qn, list_min(u) AS lo, (list_max(u) - list_min(u)) / 15 AS delta,
-list_transform(u, lambda x: floor(15.0 / (list_max(u) - list_min(u)) * (x - list_min(u)) + 0.5)) AS qc FROM n WHERE vec_id < 10),
+list_transform(u, lambda x: floor(15.0 / (list_max(u) - list_min(u)) * (x - list_min(u)) + 0.5)) AS qc FROM n WHERE vec_id % 100 = 0),
 t AS (SELECT qid, vec_id, list_inner_product(v, qv) AS exact, qn * len * ((2 * delta / 8 * list_inner_product(qc, b) + 2 * lo / 8 * list_sum(b) - delta / 8 * list_sum(qc) - 8 * lo) / fit)
 + list_inner_product(v, c) + list_inner_product(qv, c) - list_inner_product(c, c) AS estimate, len * qn * 1.9 / sqrt(63.0) * sqrt((1 - fit * fit) / (fit * fit)) AS error FROM d, q) """
 
@@ -220,7 +220,7 @@ def one_bit_estimates(spark, folder):
 @query()
 def one_bit_pruned_recall(spark, folder):
     docs = scaled(spark, folder)
-    t = B.estimates(docs, asked_throughout(docs), B.centre_of(docs))
+    t = B.estimates(docs, asked(docs), B.centre_of(docs))
     return E.coverage(B.pruned(t, 10), 10, 40)
 
 
@@ -243,7 +243,7 @@ def pq_encode(spark, folder):
 
 @query(""", w AS (SELECT vec_id, b, v[b * 8 + 1 : b * 8 + 8] AS x FROM e, range(8) t(b)),
 k AS (SELECT w.vec_id, w.b, o.x AS y, row_number() OVER (PARTITION BY w.vec_id, w.b ORDER BY list_sum(list_transform(list_zip(w.x, o.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), o.vec_id) AS r FROM w JOIN w o ON o.b = w.b AND o.vec_id < 16),
-d AS (SELECT k.vec_id, q.vec_id AS qid, 1 - sum(list_inner_product(q.x, k.y)) AS dist FROM k JOIN w q ON q.b = k.b AND q.vec_id < 10 WHERE k.r = 1 GROUP BY ALL)
+d AS (SELECT k.vec_id, q.vec_id AS qid, 1 - sum(list_inner_product(q.x, k.y)) AS dist FROM k JOIN w q ON q.b = k.b AND q.vec_id % 100 = 0 WHERE k.r = 1 GROUP BY ALL)
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 9), vec_id) AS rank, vec_id, round(dist, 6) + 0.0 AS dist FROM d QUALIFY rank <= 10""")
 def pq_search(spark, folder):
     docs, model = _supplied(spark, folder)
@@ -267,7 +267,7 @@ def pq_trained_error(spark, folder):
 def pq_anisotropic(spark, folder):
     docs = P.prepared(unit(spark, folder), "cosine", 8)
     model = P.fit_pq(docs, "cosine", 8, 32, 10**6, threshold=0.6)
-    return P.search(P.encode_docs(docs, model), asked_throughout(unit(spark, folder)), model, 10)
+    return P.search(P.encode_docs(docs, model), asked(unit(spark, folder)), model, 10)
 
 
 @query()
@@ -275,7 +275,7 @@ def pq_merged(spark, folder):
     docs = P.prepared(unit(spark, folder), "cosine", 8)
     a, b = (P.fit_pq(docs.where(F.col("vec_id") % 2 == i), "cosine", 8, 16, 200, seed=i) for i in (0, 1))
     model = P.merge_models(docs, a, b, 200)
-    return E.recall_summary(E.recall(K.knn(docs, asked_throughout(docs), 10), P.search(P.encode_docs(docs, model), asked_throughout(docs), model, 40)))
+    return E.recall_summary(E.recall(K.knn(docs, asked(docs), 10), P.search(P.encode_docs(docs, model), asked(docs), model, 40)))
 
 
 @query()

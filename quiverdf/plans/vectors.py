@@ -9,6 +9,7 @@ from quiverdf.functions import vectors as V
 from quiverdf.operators import evaluation as E
 from quiverdf.operators import knn as K
 from quiverdf.operators import sampling as S
+from quiverdf.operators.lineage import shared_dir
 from quiverdf.plans.registry import asked, long_form, query, r6, scaled, unit
 from quiverdf.sources import fvec, tables
 
@@ -20,10 +21,10 @@ D2 = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1
 
 
 def _pairs(value: str, table: str = "s") -> str:
-    return f", p AS (SELECT b.vec_id AS qid, a.vec_id, {value} AS d FROM {table} a, {table} b WHERE b.vec_id < 10) "
+    return f", p AS (SELECT b.vec_id AS qid, a.vec_id, {value} AS d FROM {table} a, {table} b WHERE b.vec_id % 100 = 0) "
 
 
-@query(", p AS (SELECT q.vec_id AS qid, a.vec_id, 1 - list_inner_product(a.v, q.v) AS d FROM e a, e q WHERE q.vec_id < 10) " + TOP.format(key="d", out="d AS dist"))
+@query(", p AS (SELECT q.vec_id AS qid, a.vec_id, 1 - list_inner_product(a.v, q.v) AS d FROM e a, e q WHERE q.vec_id % 100 = 0) " + TOP.format(key="d", out="d AS dist"))
 def knn_exact_dot(spark, folder):
     docs = unit(spark, folder)
     return K.knn_expr(docs, asked(docs), 10)
@@ -223,7 +224,7 @@ def concatenated(spark, folder):
 def fvec_round_trip(spark, folder):
     import uuid
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quiverdf").rstrip("/").removeprefix("file:").replace("//", "/")
+    root = shared_dir(spark).removeprefix("file:").replace("//", "/")
     path = f"{root}/fvec-{uuid.uuid4().hex}"
     fvec.write_fvecs(unit(spark, folder), path)
     back = spark.read.format("fvec").load(path)

@@ -99,3 +99,31 @@ def test_searches_without_sql_ask_throughout(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     docs.withColumn("vec_id", F.col("vec_id") + 1_000).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {r["qid"] for r in QUERIES["pq_anisotropic"](spark, str(tmp_path)).collect()} == set(range(1_000, 1_500, 100))
+
+
+def test_no_queries_find_nothing(spark, vectors):
+    from quiverdf.operators import ivf, pq
+
+    rng = np.random.default_rng(3)
+    docs = vectors(rng.normal(size=(80, 8)))
+    none = docs.limit(0).withColumnRenamed("vec_id", "qid")
+    c, lists = ivf.build_ivf(docs, 4)
+    assert [x.count() for x in ivf.search(lists, none, c, 5, 2)] == [0, 0]
+    assert ivf.search_quantised(ivf.quantise_lists(lists, c, 4), docs, none, c, 5, 2, 4).count() == 0
+    model = pq.supplied_model(docs, "dot", np.zeros((1, 8)), 2, 4)
+    assert pq.search(pq.encode_docs(docs, model), none, model, 5).count() == 0
+
+
+def test_quantised_search_takes_every_block_of_queries(spark, vectors, monkeypatch):
+    """Three queries a block give what one block of all gives."""
+    from quiverdf.operators import ivf, knn
+
+    docs = vectors(np.random.default_rng(4).normal(size=(90, 8)))
+    queries = docs.where("vec_id < 10").withColumnRenamed("vec_id", "qid")
+    c, lists = ivf.build_ivf(docs, 4)
+    coded = ivf.quantise_lists(lists, c, 4)
+    found = lambda: sorted(tuple(r) for r in ivf.search_quantised(coded, docs, queries, c, 5, 3, 4).collect())
+    whole = found()
+    blocks = knn.blocks_of
+    monkeypatch.setattr(ivf, "blocks_of", lambda q, limit=0: blocks(q, 24))
+    assert len({r[0] for r in whole}) == 10 and found() == whole
