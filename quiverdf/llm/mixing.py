@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import Scratch, identified, prefix_of, text_of, with_rank
+from quiverdf.llm._shared import Scratch, identified, join_groups, prefix_of, rows_of, text_of, unused, with_rank
 
 WEIGHTS = (5, 2, 1)
 #: Rows of a range at least, and ranges of all large sources at most: what is broadcast has no more rows.
@@ -52,15 +52,28 @@ def mix_sources(
     """One row for each row of ``docs``: __row, doc_id, size, source_size, target, taken (words, repeats
     counted; a source's sum is its whole budget) and copies (whole documents, the one at the cut included)."""
     scratch = Scratch(docs.sparkSession)
-    sizes = scratch.keep(
-        (docs.withColumn("__row", F.col(row_col)) if row_col else identified(scratch, docs)).select(
-            "__row", F.col(id_col).alias("doc_id"),
-            # Nulls last and never equal to a source's name.
-            F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")).alias("skey"),
-            word_count(text_of(text_col)).alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
-        )
-    )
+    columns = _columns(id_col, text_col, source_col)
+    sizes = rows_of(scratch, docs, row_col, **columns)
+    sizes = scratch.keep(sizes.withColumn("key", _key(seed)))
+    return _mixed(scratch, sizes, share, most, weights, range_rows)[0]
+
+
+def _columns(id_col: str, text_col: str, source_col: str) -> dict:
+    return {
+        "doc_id": F.col(id_col),
+        # Nulls last and never equal to a source's name.
+        "skey": F.coalesce(F.concat(F.lit("a"), F.col(source_col).cast("string")), F.lit("b")),
+        "size": word_count(text_of(text_col)),
+    }
+
+
+def _key(seed: str):
+    """A hash of the id; of the row's number where there is no id, so that such rows are in many ranges too."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), "__row"))))
+
+
+def _mixed(scratch: Scratch, sizes: DataFrame, share: float, most: int, weights, range_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(the mix of ``sizes`` (__row, doc_id, skey, size, key), (skey, source_size, n, target))."""
     sources = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sources = scratch.keep(source_targets(scratch, sources, share, most, weights))
     rows = sizes.count()
@@ -86,20 +99,37 @@ def mix_sources(
         "__row", "doc_id", "size", "source_size", "target",
         (whole * F.col("size") + part).cast("long").alias("taken"),
         (whole + (part > 0).cast("long")).cast("int").alias("copies"),
-    )
+        "skey", "key", whole.cast("int").alias("whole"),
+    ), sources
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, whole, with its own columns."""
+def mixed_documents(
+    docs: DataFrame, share: float = 1.5, most: int = 2, weights=WEIGHTS, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS,
+) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, whole, with its own columns.
+
+    What a source takes beyond whole repeats ends at one place of its order, so that rows are chosen by that place
+    where they are read: a row for each source travels, not the rows."""
     scratch = Scratch(docs.sparkSession)
-    numbered = identified(scratch, docs)
-    chosen = mix_sources(numbered, row_col="__row", **options)
-    often = chosen.where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    row, copies, found = (unused(docs, c) for c in ("__row", "__copies", "__found"))
+    numbered = identified(scratch, docs, row)
+    columns = _columns(id_col, text_col, source_col)
+    sizes = scratch.keep(rows_of(scratch, numbered, row, **columns).withColumn("key", _key(seed)))
+    mix, sources = _mixed(scratch, sizes, share, most, weights, range_rows)
+    place = F.struct("key", "doc_id", "__row")
+    cuts = mix.groupBy("skey").agg(F.first("whole").alias("whole"), F.max(F.when(F.col("copies") > F.col("whole"), place)).alias("last"))
+    cuts = scratch.keep(cuts.join(sources.select("skey", "n"), "skey"))
+    # The columns of docs go along whole under one name, whatever theirs are; of a size only whether it is 0 matters.
+    columns["size"] = text_of(text_col).rlike(r"[^\x20\x09-\x0D]").cast("int")
+    own = numbered.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(found), F.col(f"`{row}`").alias("__row"), *[c.alias(n) for n, c in columns.items()])
+    chosen = join_groups(own.withColumn("key", _key(seed)), cuts, "skey", "n", sizes.count())
+    often = F.col("whole") + F.when((F.col("size") > 0) & (place <= F.col("last")), 1).otherwise(0)
     return (
-        numbered.join(often, "__row")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .drop("__row", "__copies", "__copy")
-    )
+        chosen.select(found, often.alias(copies)).where(F.col(copies) > 0)
+        .withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies))))
+        .select(*[F.col(found)[c].alias(c) for c in docs.columns])
+    )
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
