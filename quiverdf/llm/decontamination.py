@@ -155,8 +155,8 @@ def contamination(
     )
     by_phrase = found.groupBy("__row", "wid").agg(F.max("exact").alias("exact"))
     near = by_phrase.where(~F.col("exact")).groupBy("__row").agg(F.count(F.lit(1)).alias("n_near"))
-    out = rows.select("__row", "doc_id").join(lengths, "__row").join(small(scratch.keep(exact.join(of_item, "__row", "left"))), "__row", "left")
-    return out.join(small(scratch.keep(near)), "__row", "left").select(
+    out = rows.select("__row", "doc_id").join(lengths, "__row").join(exact, "__row", "left").join(of_item, "__row", "left")
+    return out.join(near, "__row", "left").select(
         "__row", "doc_id", "n_words", F.when(F.size("matches") > 0, hit).otherwise(0).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "matches",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
