@@ -41,7 +41,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     """(bands, rows of each): the most selective rows with which ``most`` hashes still give the recall at the threshold."""
     if threshold >= 1:
         return 1, 1  # equal sets share every hash
-    fits = [(math.ceil(math.log(1 - recall) / math.log(1 - threshold**r)), r) for r in range(1, 33)]
+    fits = [(math.ceil(math.log(1 - recall) / math.log1p(-(threshold**r))), r) for r in range(1, 33)]
     fits = [(b, r) for b, r in fits if b * r <= most]
     if not fits:
         raise ValueError(f"{most} hashes cannot reach a recall of {recall} at a similarity of {threshold}")
