@@ -29,7 +29,7 @@ from quiverdf.llm._shared import Scratch, components, identified, join_counted,
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 96
 #: Members that a block of a large bucket has about, and bytes of their n-grams; two blocks are in memory at once.
-BLOCK, BLOCK_BYTES = 2_048, 8_000_000
+BLOCK, BLOCK_BYTES = 1_024, 8_000_000
 #: Words whose codes a worker remembers at most.
 KNOWN = 65_536
 _rng = np.random.Generator(np.random.PCG64(20240229))
