@@ -137,6 +137,23 @@ def prefix_of(df: DataFrame, keys: list, order: list, value: str, name: str) ->
     return df.withColumn(name, F.coalesce(F.sum(value).over(over), F.lit(0)).cast("long"))
 
 
+#: Lots, in turn, that ``first_rows`` draws from.
+LOTS = (4096, 64)
+
+
+def first_rows(df: DataFrame, order: list, by: list, most: int) -> DataFrame:
+    """The first ``most`` rows in ``order``, in that order; ``by``: columns whose hash deals rows out evenly.
+
+    Each lot keeps its own first ``most``, in levels, so that the last step gets 64 times ``most`` rows at the utmost,
+    in however many partitions the rows are.
+    """
+    for lots in LOTS:
+        over = Window.partitionBy("__lot").orderBy(*order)
+        df = df.withColumn("__lot", F.pmod(F.xxhash64(*by), F.lit(lots)))
+        df = df.withColumn("__place", F.row_number().over(over)).where(F.col("__place") <= most).drop("__lot", "__place")
+    return df.orderBy(*order).limit(most)
+
+
 #: Files of a scan whose names are sent to all tasks, to number their rows; rows of more files are numbered by a copy.
 MOST_FILES = 100_000
 

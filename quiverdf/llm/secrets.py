@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import ascii_lower, lean_batches, text_of
+from quiverdf.llm._shared import ascii_lower, first_rows, lean_batches, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Guesses, as a power of two, from which a value counts as a secret.
@@ -230,7 +230,7 @@ def common_words(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY
     prose = F.regexp_replace(text_of(text_col), r"[:=]>?[\x20\"']*[^\x20\x09-\x0D]+", " ")
     words = docs.select(F.explode(F.array_distinct(F.split(ascii_lower(prose), "[^a-z]+"))).alias("word"))
     counted = words.where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
+    top = first_rows(counted.where(F.col("n") >= least), [F.desc("n"), "word"], ["word"], most)
     return [r["word"] for r in top.collect()]
 
 
