@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiverdf.llm._shared import Scratch, prefix_of
+from quiverdf.llm._shared import Scratch, first_rows, prefix_of
 
 #: Labelled rows that are learnt from at most, and feature numbers that they have at most (256 MB); passes over them.
 TRAIN_ROWS, TRAIN_FEATURES, BITS, PASSES = 20_000, 64_000_000, 20, 5
@@ -149,12 +149,13 @@ def train(rows: DataFrame, bits: int = BITS, passes: int = PASSES, most_features
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
     """(text, label, place) of at most ``most`` labelled documents, none of the held-out fold."""
     place = F.xxhash64(F.lit("ftrl"), "doc_id")
-    chosen = (
+    labelled = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != 0)
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-        .orderBy(place).limit(most).select("doc_id", "label", place.alias("place"))
+        .select("doc_id", "label", place.alias("place"))
     )
+    chosen = first_rows(labelled, ["place", "doc_id"], ["doc_id"], most)
     met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows
     # A row for each id, combined before the shuffle, however often ids repeat.
     one = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"), F.first("label").alias("label"), F.first("place").alias("place"))
