@@ -1,8 +1,11 @@
 """Exact nearest neighbours: blocks of queries against all rows.
 
-Queries are collected in blocks of a bounded size and sent with the task; each partition of the corpus keeps
-only its own top k for each query, so what is shuffled is (partitions x queries x k) rows, never pairs. Ties go
-to the smaller id. Null vectors and, for ``cosine``, zero vectors match nothing.
+A few queries are collected in blocks of a bounded size and sent with the task; each partition of the corpus keeps
+only its own top k for each query, so what is shuffled is (partitions x queries x k) rows, never pairs. Where all
+rows ask (``knn_all``), blocks meet blocks on the executors. Either way a task holds distances of TILE pairs at once.
+Matrix products choose candidates, with a margin for their rounding; these are compared by sums in component order,
+so that equal vectors are equally far. Ties go to the smaller id. Null vectors and, for ``cosine``, zero vectors
+match nothing.
 """
 
 from __future__ import annotations
@@ -15,20 +18,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverdf.functions.vectors import distance, doubles, engine_score
+from quiverdf.operators.lineage import cut_lineage
 
 #: Numbers of query components that one block holds at most (32 MB of doubles).
 BLOCK_NUMBERS = 4_000_000
+#: Distances that a task holds at once, and numbers of a block of rows that meets others, at most.
+TILE, ROW_NUMBERS = 4_000_000, 262_144
+#: Blocks that a task holds to meet others (64 MB).
+HELD_BLOCKS = 32
 
 
-def _distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Queries by rows."""
+def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of the pairs of rows, added up in component order as SQL does."""
+    add = lambda a, b: np.add.accumulate(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
     if metric == "euclidean":
-        return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T
+        return add(x - q, x - q)
     if metric == "cosine":
         with np.errstate(invalid="ignore", divide="ignore"):
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-    return 1 - q @ x.T
+            return 1 - add(x, q) / (np.sqrt(add(x, x)) * np.sqrt(add(q, q)))
+    return 1 - add(x, q)
 
 
 def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +50,85 @@ def _best(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return dist[order], ids[order]
 
 
+class Nearest:
+    """The k nearest rows that a block of queries has met so far, by distance and id."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str, exclude_self: bool):
+        self.qids, self.q, self.k, self.metric, self.exclude_self = qids, q, k, metric, exclude_self
+        self.at, self.ids, self.dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.kth = np.full(len(qids), np.inf)
+        self.unit = self._unit(q)
+        self.norm = (self.unit * self.unit).sum(1)
+
+    def _unit(self, x: np.ndarray) -> np.ndarray:
+        if self.metric != "cosine":
+            return x
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        rows = max(1, min(len(ids), TILE // max(1, min(len(self.qids), 2_048))))
+        queries = max(1, TILE // rows)
+        for i in range(0, len(ids), rows):
+            unit = self._unit(x[i : i + rows])
+            norm = (unit * unit).sum(1)
+            for j in range(0, len(self.qids), queries):
+                self._tile(slice(j, min(j + queries, len(self.qids))), ids[i : i + rows], x[i : i + rows], unit, norm)
+
+    def _tile(self, block: slice, ids: np.ndarray, x: np.ndarray, unit: np.ndarray, norm: np.ndarray) -> None:
+        q, qn = self.unit[block], self.norm[block]
+        near = q @ unit.T
+        if self.metric == "euclidean":
+            near *= -2
+            near += norm
+            near += qn[:, None]
+        else:
+            np.subtract(1, near, out=near)
+        if self.exclude_self:
+            order = np.argsort(ids, kind="stable")
+            low, high = (np.searchsorted(ids[order], self.qids[block], side=s) for s in ("left", "right"))
+            times = high - low
+            own = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
+            near[np.repeat(np.arange(len(q)), times), order[own]] = np.nan
+        # What rounding may move a sum of products by; vectors without a norm have no candidates.
+        margin = 1e-15 * (q.shape[1] + 8) * (1 + qn + norm[np.isfinite(norm)].max(initial=0.0))
+        most = self.kth[block] + margin
+        hit = near <= most[:, None]
+        if near.shape[1] > self.k and np.count_nonzero(hit) > 4 * self.k * len(q):
+            least = np.where(np.isnan(near), np.inf, near)
+            least.partition(self.k - 1, axis=1)
+            hit = near <= np.minimum(most, least[:, self.k - 1] + 2 * margin)[:, None]
+            del least
+        at, of = np.nonzero(hit)
+        del near, hit
+        step = max(1, TILE // max(1, 2 * x.shape[1]))
+        for i in range(0, len(at), step):
+            a, o = at[i : i + step] + block.start, of[i : i + step]
+            self._merge(a, ids[o], _exact(self.metric, self.q[a], x[o]))
+
+    def _merge(self, at: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        ok = dist <= self.kth[at]  # not a number: no distance
+        at, ids, dist = at[ok], ids[ok], dist[ok]
+        if not len(at):
+            return
+        lo, hi = np.searchsorted(self.at, [at.min(), at.max() + 1])
+        a, i, d = (np.concatenate(z) for z in ((self.at[lo:hi], at), (self.ids[lo:hi], ids), (self.dist[lo:hi], dist)))
+        order = np.lexsort((i, d, a))
+        a = a[order]
+        first = np.searchsorted(a, a)
+        place = np.arange(len(a)) - first
+        keep = place < self.k
+        full = order[place == self.k - 1]
+        self.kth[a[place == self.k - 1]] = d[full]
+        order, a = order[keep], a[keep]
+        self.at = np.concatenate([self.at[:lo], a, self.at[hi:]])
+        self.ids = np.concatenate([self.ids[:lo], i[order], self.ids[hi:]])
+        self.dist = np.concatenate([self.dist[:lo], d[order], self.dist[hi:]])
+
+    def table(self) -> pd.DataFrame:
+        return pd.DataFrame({"qid": self.qids[self.at], "vec_id": self.ids, "dist": self.dist})
+
+
 def blocks_of(queries: DataFrame, dim_limit: int = BLOCK_NUMBERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of the queries, block by block."""
     ids, vectors = [], []
@@ -64,30 +151,66 @@ def knn(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", exclud
     for qids, q in blocks_of(queries):
 
         def scan(batches: Iterator[pd.DataFrame], qids=qids, q=q) -> Iterator[pd.DataFrame]:
-            best = [(np.empty(0), np.empty(0, np.int64)) for _ in qids]
+            best = Nearest(qids, q, k, metric, exclude_self)
             for b in batches:
-                if not len(b):
-                    continue
-                ids = b["vec_id"].to_numpy(np.int64)
-                dist = _distances(metric, np.stack(b["v"].to_list()), q)
-                for i in range(len(qids)):
-                    d = np.where(ids == qids[i], np.nan, dist[i]) if exclude_self else dist[i]
-                    best[i] = _best(np.concatenate([best[i][0], d]), np.concatenate([best[i][1], ids]), k)
-            sizes = [len(d) for d, _ in best]
-            yield pd.DataFrame({
-                "qid": np.repeat(qids, sizes), "vec_id": np.concatenate([i for _, i in best] or [[]]),
-                "dist": np.concatenate([d for d, _ in best] or [[]]),
-            })
+                if len(b):
+                    best.meet(b["vec_id"].to_numpy(np.int64), np.stack(b["v"].to_list()))
+            yield best.table()
 
         part = rows.mapInPandas(scan, "qid long, vec_id long, dist double")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "qid long, vec_id long, dist double")
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy("dist", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "vec_id", "dist")
 
 
+def _packed(rows: DataFrame, most: int) -> DataFrame:
+    """(ids, vectors): blocks of ``most`` rows (vec_id, v) at most, as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            blocks = [b.iloc[i : i + most] for i in range(0, len(b), most)]
+            vectors = [np.stack(p["v"].to_list()).astype(np.float64).tobytes() for p in blocks]
+            yield pd.DataFrame({"ids": [p["vec_id"].to_numpy(np.int64).tobytes() for p in blocks], "vectors": vectors})
+
+    return rows.mapInPandas(pack, "ids binary, vectors binary")
+
+
+def knn_all(points: DataFrame, k: int, metric: str = "dot") -> DataFrame:
+    """(qid, rank, vec_id, dist) of the ``k`` nearest others of each of ``points`` (vec_id, embedding).
+
+    Blocks of points go to files once. A task lets a few blocks ask HELD_BLOCKS others, block by block, so the
+    driver sees no vector, and what is shuffled is points x k rows for each HELD_BLOCKS blocks."""
+    rows = points.select("vec_id", doubles("embedding").alias("v")).where("v IS NOT NULL")
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    most = max(1, ROW_NUMBERS // max(1, dim or 1))
+    blocks = cut_lineage(_packed(rows.repartition(max(1, -(-n // most))), most))
+    others = blocks.coalesce(max(1, -(-n // (most * HELD_BLOCKS)))).toDF("other_ids", "other_vectors")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, asks = None, (b"", b"")
+        for b in batches:
+            for ids, vectors, other_ids, other_vectors in b.itertuples(index=False, name=None):
+                if best is None or (ids, vectors) != asks:
+                    if best is not None:
+                        yield best.table()
+                    asks, qids = (ids, vectors), np.frombuffer(ids, np.int64)
+                    best = Nearest(qids, np.frombuffer(vectors).reshape(len(qids), -1), k, metric, True)
+                i = np.frombuffer(other_ids, np.int64)
+                best.meet(i, np.frombuffer(other_vectors).reshape(len(i), -1))
+        if best is not None:
+            yield best.table()
+
+    pairs = blocks.crossJoin(others.hint("shuffle_replicate_nl"))  # a row for each pair of blocks
+    return cut_lineage(_ranked(pairs.mapInPandas(scan, "qid long, vec_id long, dist double"), k))
+
+
 def knn_expr(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", score: bool = False) -> DataFrame:
     """The same as array expressions, for few queries over small tables: bit-exact sums in component order."""
     if queries.count() > 10_000:
@@ -110,10 +233,10 @@ def nearest(docs: DataFrame, query: list[float], k: int, metric: str = "dot") ->
 
 def knn_graph(points: DataFrame, k: int = 32, metric: str = "euclidean") -> DataFrame:
     """(src, dst, dist): each point joined to its ``k`` nearest others, both ways, once."""
-    near = knn(points, points.withColumnRenamed("vec_id", "qid"), k, metric, exclude_self=True)
-    one = near.select(F.col("qid").alias("src"), F.col("vec_id").alias("dst"), "dist")
-    back = near.select(F.col("vec_id").alias("src"), F.col("qid").alias("dst"), "dist")
-    return one.unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    near = knn_all(points, k, metric)
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = near.select(F.explode(F.array(ends("qid", "vec_id"), ends("vec_id", "qid"))).alias("e"), "dist")
+    return both.groupBy("e.src", "e.dst").agg(F.min("dist").alias("dist"))
 
 
 def neighbourhoods(centres: DataFrame, m: int) -> DataFrame:

@@ -53,6 +53,39 @@ def test_graph_is_symmetric_and_unique(vectors):
     assert len(pairs) == len(g) and {(b, a) for a, b in pairs} == pairs and all(a != b for a, b in pairs)
 
 
+def _all_pairs(x, k):
+    """(id, id) of the k nearest others of each row by sums in order, ties to the smaller id."""
+    d = np.add.accumulate((x[:, None] - x[None]) ** 2, axis=2)[:, :, -1]
+    np.fill_diagonal(d, np.inf)
+    return {(i, int(j)) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:k]}
+
+
+def test_all_rows_ask_in_bounded_tiles(vectors, monkeypatch):
+    """No distances of a whole block by a whole batch, equal vectors equally far, whatever the blocks."""
+    x = np.repeat(np.random.default_rng(5).normal(size=(60, 7)), 5, axis=0)
+    docs = vectors(x).repartition(3)
+    near = lambda: {(r["qid"], r["vec_id"]) for r in K.knn_all(docs, 7, "euclidean").collect()}
+    assert near() == _all_pairs(x, 7)
+    monkeypatch.setattr(K, "ROW_NUMBERS", 140)
+    monkeypatch.setattr(K, "HELD_BLOCKS", 4)
+    assert near() == _all_pairs(x, 7)
+    seen = []
+    whole = K.Nearest._tile
+    monkeypatch.setattr(K.Nearest, "_tile", lambda self, b, ids, *a: (seen.append((b.stop - b.start) * len(ids)), whole(self, b, ids, *a)))
+    monkeypatch.setattr(K, "TILE", 100)
+    best = K.Nearest(np.arange(300), x, 7, "euclidean", True)
+    for i in range(0, 300, 90):
+        best.meet(np.arange(i, min(i + 90, 300)), x[i : i + 90])
+    assert max(seen) <= 100 and set(zip(best.table().qid, best.table().vec_id, strict=True)) == _all_pairs(x, 7)
+
+
+def test_graph_joins_ties_by_id(vectors):
+    x = np.repeat(np.random.default_rng(6).normal(size=(12, 33)), 9, axis=0)
+    g = K.knn_graph(vectors(x), 4).toPandas()
+    one = _all_pairs(x, 4)
+    assert set(zip(g.src, g.dst, strict=True)) == one | {(b, a) for a, b in one} and (g.dist == 0).all()
+
+
 def test_recall_golden(spark):
     exact = spark.createDataFrame([(0, i) for i in (0, 1, 2, 5, 4, 3, 6, 9, 8, 7)], "qid long, vec_id long")
     approx = spark.createDataFrame([(0, i) for i in (1, 0, 2, 4, 6, 7, 17, 11, 14, 8)], "qid long, vec_id long")
