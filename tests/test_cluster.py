@@ -201,3 +201,11 @@ def test_samples_are_cut_throughout():
     assert sorted(round(c[0]) for c in centres) == [0, 10]
     x = np.arange(50)
     assert (M.some_of(x, 50, 0) == x).all() and (np.diff(M.some_of(x, 20, 0)) > 0).all() and M.some_of(x, 20, 0).max() > 30
+
+
+@pytest.mark.parametrize("name", ["edge_weights"])
+def test_graphs_take_no_rows_to_the_driver(spark, monkeypatch, name):
+    from quiverdf.plans.catalog import QUERIES
+
+    monkeypatch.setattr(K, "blocks_of", lambda *a: pytest.fail("points on the driver"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
