@@ -138,13 +138,13 @@ def compression_ratio(dim: int, books: int, n: int, clusters: int, book_size: in
 
 def growth_of_distance(points: DataFrame, fractions: list[float], k: int = 10, seed: int = 0) -> DataFrame:
     """(slope, intercept, r2) of the logarithm of the mean k-NN distance against that of the sample size."""
-    from quiverdf.operators.knn import knn
+    from quiverdf.operators.knn import knn_all
     from quiverdf.operators.sampling import bernoulli
 
     rows = []
     for f in fractions:
         part = bernoulli(points, f, seed)
-        near = knn(part, part.withColumnRenamed("vec_id", "qid"), k, "euclidean", exclude_self=True)
+        near = knn_all(part, k, "euclidean")
         rows.append((part.count(), near.agg(F.avg(F.sqrt(F.greatest("dist", F.lit(0.0))))).first()[0]))
     table = points.sparkSession.createDataFrame(rows, "n long, d double").select(F.log("n").alias("x"), F.log("d").alias("y"))
     return table.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))

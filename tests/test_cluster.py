@@ -203,7 +203,7 @@ def test_samples_are_cut_throughout():
     assert (M.some_of(x, 50, 0) == x).all() and (np.diff(M.some_of(x, 20, 0)) > 0).all() and M.some_of(x, 20, 0).max() > 30
 
 
-@pytest.mark.parametrize("name", ["edge_weights", "order_cost"])
+@pytest.mark.parametrize("name", ["edge_weights", "order_cost", "growth_of_distance"])
 def test_graphs_take_no_rows_to_the_driver(spark, monkeypatch, name):
     from quiverdf.plans.catalog import QUERIES
 
