@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiverdf.functions.vectors import doubles, literal, soar_distance, squared_distance
+from quiverdf.operators.knn import packed
 from quiverdf.operators.lineage import cut_lineage
 from quiverdf.operators.sampling import reservoir, stratified
 
@@ -22,6 +24,10 @@ from quiverdf.operators.sampling import reservoir, stratified
 MOST_NUMBERS = 32_000_000
 #: Points that the driver trains on at most.
 SAMPLE = 262_144
+#: Distances between points and centres that are held at once.
+TILE = 4_000_000
+#: Clusters whose sums travel as one row.
+SUMMED = 256
 
 
 def collect_centres(centres: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +61,17 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T)
 
 
+def nearest_centres(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, squared distance) of each point's nearest centre, a bounded number of points at a time."""
+    at, low = np.empty(len(x), np.int64), np.empty(len(x))
+    step = max(1, TILE // max(1, len(c)))
+    for i in range(0, len(x), step):
+        dist = squared_distances(x[i : i + step], c)
+        at[i : i + step] = dist.argmin(1)
+        low[i : i + step] = dist[np.arange(len(dist)), at[i : i + step]]
+    return at, low
+
+
 # --- on the driver, over a bounded sample --------------------------------------------------------------------
 
 
@@ -88,9 +105,8 @@ def local_lloyd(x: np.ndarray, c: np.ndarray, iterations: int, spherical: bool =
     c, last = c.copy(), np.inf
     at, cost = np.zeros(len(x), int), np.inf
     for _ in range(max(1, iterations)):
-        dist = squared_distances(x, c)
-        at = dist.argmin(1)
-        cost = float(dist[np.arange(len(x)), at].mean())
+        at, low = nearest_centres(x, c)
+        cost = float(low.mean())
         n = np.bincount(at, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, at, x)
@@ -157,7 +173,7 @@ def assign(points: DataFrame, c: np.ndarray, ids: np.ndarray | None = None) -> D
             if not len(b):
                 continue
             x = np.stack(b["embedding"].to_list()).astype(np.float64)
-            at = squared_distances(x, c).argmin(1)
+            at = nearest_centres(x, c)[0]
             yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "cluster": names[at], "d2": ((x - c[at]) ** 2).sum(1)})
 
     return points.select("vec_id", doubles("embedding").alias("embedding")).mapInPandas(scan, "vec_id long, embedding array<double>, cluster int, d2 double")
@@ -228,15 +244,98 @@ def kmeans_full(points: DataFrame, c: np.ndarray, iterations: int = 8, tolerance
     return c
 
 
+def lloyd_steps(points: DataFrame, starts: list[np.ndarray], spherical: bool = False) -> list[tuple[np.ndarray, float]]:
+    """What ``lloyd_step`` gives for each of some sets of as many centres, in one pass over (vec_id, embedding).
+
+    Partitions send sums of SUMMED clusters a row, which are added in the order of the partitions; the driver gets
+    the new centres alone."""
+    k, dim = starts[0].shape
+    sendable(np.concatenate(starts))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, n, cost, part = [np.zeros((k, dim)) for _ in starts], [np.zeros(k) for _ in starts], [0.0] * len(starts), TaskContext.get().partitionId()
+        for b in batches:
+            if not len(b):
+                continue
+            x = np.stack(b["embedding"].to_list()).astype(np.float64)
+            for i, c in enumerate(starts):
+                at, low = nearest_centres(x, c)
+                np.add.at(sums[i], at, x)
+                n[i] += np.bincount(at, minlength=k)
+                cost[i] += float(low.sum())
+        for i in range(len(starts)):
+            for j in range(0, k, SUMMED):
+                if n[i][j : j + SUMMED].any():
+                    held = np.column_stack([sums[i][j : j + SUMMED], n[i][j : j + SUMMED]]).tobytes()
+                    yield pd.DataFrame({"start": [i], "first": [j], "part": [part], "sums": [held], "cost": [cost[i] * (j == 0)]})
+            if not n[i][:SUMMED].any():  # the cost goes with the first clusters
+                yield pd.DataFrame({"start": [i], "first": [0], "part": [part], "sums": [np.zeros((min(k, SUMMED), dim + 1)).tobytes()], "cost": [cost[i]]})
+
+    def total(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("part")
+        held = np.zeros_like(np.frombuffer(g["sums"].iloc[0]))
+        for s in g["sums"]:
+            held = held + np.frombuffer(s)
+        return pd.DataFrame({"start": [key[0]], "first": [key[1]], "sums": [held.tobytes()], "cost": [float(g["cost"].cumsum().iloc[-1])]})
+
+    rows = points.select(doubles("embedding").alias("embedding")).where("embedding IS NOT NULL")
+    sent = rows.mapInPandas(add, "start int, first int, part int, sums binary, cost double")
+    out, costs, count = [c.copy() for c in starts], [0.0] * len(starts), [0.0] * len(starts)
+    for r in sent.groupBy("start", "first").applyInPandas(total, "start int, first int, sums binary, cost double").toLocalIterator():
+        held = np.frombuffer(r["sums"]).reshape(-1, dim + 1)
+        some = np.flatnonzero(held[:, -1])
+        out[r["start"]][r["first"] + some] = held[some, :-1] / held[some, -1:]
+        costs[r["start"]] += r["cost"]
+        count[r["start"]] += held[:, -1].sum()
+    if spherical:
+        out = [c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) for c in out]
+    return [(c, cost / max(n, 1)) for c, cost, n in zip(out, costs, count, strict=True)]
+
+
+def _rows_at(points: DataFrame, ids: np.ndarray) -> np.ndarray:
+    """The vectors of the points with these ids, in their order."""
+    wanted = points.sparkSession.createDataFrame(pd.DataFrame({"vec_id": np.unique(ids)}))
+    found = packed(points.select("vec_id", F.col("embedding").alias("v")).join(F.broadcast(wanted), "vec_id"), 4_096).collect()  # bounded as centres are
+    have = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in found])
+    x = np.concatenate([np.frombuffer(r["vectors"]).reshape(len(r["ids"]) // 8, -1) for r in found])
+    order = np.argsort(have, kind="stable")
+    return x[order[np.searchsorted(have[order], ids)]]
+
+
 def coarse_clusters(points: DataFrame, per_cluster: int, sample: int = SAMPLE, restarts: int = 5, iterations: int = 10, seed: int = 0, spherical: bool = False) -> np.ndarray:
-    """ceil(n / per_cluster) centres: the best of several starts over a sample, then one pass over all points."""
-    k = max(1, -(-points.count() // per_cluster))
-    x = matrix(reservoir(points, sample, seed))[1]
+    """ceil(n / per_cluster) centres: the best of several starts over a sample, then one pass over all points.
+
+    The sample stays distributed; the driver has its ids and the centres, and all starts share each pass."""
+    rows = points.select("vec_id", doubles("embedding").alias("embedding")).where("embedding IS NOT NULL")
+    n = points.count()
+    k = max(1, -(-n // per_cluster))
+    sample = max(sample, k)
+    some = rows if n <= sample else reservoir(rows, sample, seed)
+    some = cut_lineage(some.repartition(max(1, -(-min(n, sample) // 8_192)), "vec_id"))
+    ids = np.sort(some.select("vec_id").toPandas()["vec_id"].to_numpy(np.int64))
+    if not len(ids):
+        return np.empty((0, 0))
     rng = np.random.default_rng(seed)
     if k == 1:
-        return x.mean(0, keepdims=True)
-    tries = [local_lloyd(x, forgy(x, k, rng), iterations, spherical) for _ in range(restarts)]
-    return lloyd_step(points, min(tries, key=lambda t: t[2])[0], spherical)[0]
+        return lloyd_steps(some, [_rows_at(some, ids[:1])])[0][0]
+    chosen = [ids[rng.choice(len(ids), k, replace=False)] for _ in range(restarts)]
+    best, least = None, np.inf
+    together = max(1, MOST_NUMBERS // (4 * k * len(_rows_at(some, ids[:1])[0])))
+    for first in range(0, restarts, together):
+        tries = [_rows_at(some, c) for c in chosen[first : first + together]]
+        cost, going = [np.inf] * len(tries), list(range(len(tries)))
+        for _ in range(max(1, iterations)):
+            moved = lloyd_steps(some, [tries[i] for i in going], spherical)
+            last = {i: cost[i] for i in going}
+            for i, (c, now) in zip(going, moved, strict=True):
+                tries[i], cost[i] = c, now
+            going = [i for i in going if last[i] - cost[i] > 0]
+            if not going:
+                break
+        i = int(np.argmin(cost))
+        if best is None or cost[i] < least:
+            best, least = tries[i], cost[i]
+    return lloyd_steps(rows, [best], spherical)[0][0]
 
 
 def _neighbours(c: np.ndarray, m: int) -> np.ndarray:

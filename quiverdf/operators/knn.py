@@ -170,7 +170,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return ranked.select("qid", "rank", "vec_id", "dist")
 
 
-def _packed(rows: DataFrame, most: int) -> DataFrame:
+def packed(rows: DataFrame, most: int) -> DataFrame:
     """(ids, vectors): blocks of ``most`` rows (vec_id, v) at most, as bytes."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +190,7 @@ def knn_all(points: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     rows = points.select("vec_id", doubles("embedding").alias("v")).where("v IS NOT NULL")
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     most = max(1, ROW_NUMBERS // max(1, dim or 1))
-    blocks = cut_lineage(_packed(rows.repartition(max(1, -(-n // most))), most))
+    blocks = cut_lineage(packed(rows.repartition(max(1, -(-n // most))), most))
     others = blocks.coalesce(max(1, -(-n // (most * HELD_BLOCKS)))).toDF("other_ids", "other_vectors")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

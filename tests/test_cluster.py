@@ -203,6 +203,24 @@ def test_samples_are_cut_throughout():
     assert (M.some_of(x, 50, 0) == x).all() and (np.diff(M.some_of(x, 20, 0)) > 0).all() and M.some_of(x, 20, 0).max() > 30
 
 
+def test_coarse_clusters_leave_the_sample_distributed(vectors, monkeypatch):
+    """No points on the driver but the starts, distances in bounded tiles; what Lloyd's steps over all points give."""
+    x = np.random.default_rng(12).normal(size=(400, 6))
+    docs = vectors(x).repartition(3)
+    rng = np.random.default_rng(0)
+    tries = [M.local_lloyd(x, M.forgy(x, 20, rng), 10) for _ in range(5)]
+    want = M.lloyd_step(docs, min(tries, key=lambda t: t[2])[0])[0]
+    monkeypatch.setattr(M, "matrix", lambda points: pytest.fail("points on the driver"))
+    got = M.coarse_clusters(docs, 20)
+    assert np.allclose(got, want) and (got == M.coarse_clusters(docs, 20)).all()
+    assert np.allclose(M.coarse_clusters(docs, 1_000), x.mean(0))
+    seen, whole = [], M.squared_distances
+    monkeypatch.setattr(M, "squared_distances", lambda a, c: (seen.append(len(a) * len(c)), whole(a, c))[1])
+    monkeypatch.setattr(M, "TILE", 100)
+    at, low = M.nearest_centres(x, got)
+    assert max(seen) <= 100 and (at == whole(x, got).argmin(1)).all() and np.allclose(low, whole(x, got).min(1))
+
+
 @pytest.mark.parametrize("name", ["edge_weights", "order_cost", "growth_of_distance"])
 def test_graphs_take_no_rows_to_the_driver(spark, monkeypatch, name):
     from quiverdf.plans.catalog import QUERIES
