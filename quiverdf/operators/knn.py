@@ -23,9 +23,9 @@ from quiverdf.operators.lineage import cut_lineage
 #: Numbers of query components that one block holds at most (32 MB of doubles).
 BLOCK_NUMBERS = 4_000_000
 #: Distances that a task holds at once, and numbers of a block of rows that meets others, at most.
-TILE, ROW_NUMBERS = 4_000_000, 262_144
-#: Blocks that a task holds to meet others (64 MB).
-HELD_BLOCKS = 32
+TILE, ROW_NUMBERS = 1_000_000, 131_072
+#: Blocks that a task holds to meet others (32 MB), and pairs of blocks that go to Python at once (8 MB).
+HELD_BLOCKS, BATCH_PAIRS = 32, 4
 
 
 def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def knn_all(points: DataFrame, k: int, metric: str = "dot") -> DataFrame:
             yield best.table()
 
     pairs = blocks.crossJoin(others.hint("shuffle_replicate_nl"))  # a row for each pair of blocks
-    return cut_lineage(_ranked(pairs.mapInPandas(scan, "qid long, vec_id long, dist double"), k))
+    return cut_lineage(_ranked(pairs.mapInPandas(scan, "qid long, vec_id long, dist double"), k), BATCH_PAIRS)
 
 
 def knn_expr(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", score: bool = False) -> DataFrame:

@@ -227,3 +227,23 @@ def test_graphs_take_no_rows_to_the_driver(spark, monkeypatch, name):
 
     monkeypatch.setattr(K, "blocks_of", lambda *a: pytest.fail("points on the driver"))
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_batches_of_a_cut_are_bounded(spark):
+    import pandas as pd
+
+    from quiverdf.operators.lineage import BATCH, cut_lineage
+
+    before = spark.conf.get(BATCH)
+    sizes = spark.range(0, 40, 1, 2).mapInPandas(lambda it: (pd.DataFrame({"n": [len(b)]}) for b in it), "n int")
+    assert max(r["n"] for r in cut_lineage(sizes, 3).collect()) == 3 and spark.conf.get(BATCH) == before
+
+
+@pytest.mark.parametrize("name", ["edge_weights"])
+def test_graphs_send_few_pairs_of_blocks_at_once(spark, monkeypatch, name):
+    from quiverdf.plans.catalog import QUERIES
+
+    cut, seen = K.cut_lineage, []
+    monkeypatch.setattr(K, "cut_lineage", lambda df, rows=None: (seen.append(rows), cut(df, rows))[1])
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen[-1] and seen[-1] * 2 * K.ROW_NUMBERS * 8 <= 8 << 20
