@@ -443,3 +443,23 @@ def test_bands_that_cannot_reach_the_recall():
     with pytest.raises(ValueError):
         J.choose_bands(0.02, 0.9999)
     assert J.choose_bands(1.0) == (1, 1)
+
+
+def test_different_texts_that_share_passages_are_all_paired(spark):
+    """Every pair of different texts for which all pairs of places show a passage has a row, and every copy."""
+    import itertools
+
+    from quiverdf.llm import passages as P
+
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    lines = [[word() for _ in range(30)] for _ in range(3)]
+    a, b, c = lines
+    texts = [a, b, a + b, a, b, a + b, b + c, a + b + c, c, b + c]
+    texts = [" ".join([word() for _ in range(20)] + t + [word() for _ in range(20)]) for t in texts]
+    texts += [texts[2], texts[2], texts[7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r["other_id"], r["doc_id"]) for r in P.repeated_passages(docs).collect()}
+    with_ab, with_bc = [2, 5, 7], [6, 7, 9]
+    want = {*itertools.combinations(with_ab, 2), *itertools.combinations(with_bc, 2), (2, 10), (2, 11), (7, 12)}
+    assert found == want
