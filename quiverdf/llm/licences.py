@@ -128,6 +128,14 @@ def units_of(text: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda x: F.btrim(x, F.lit(BLANKS))))
 
 
+def unit_rows(rows: DataFrame) -> DataFrame:
+    """(__row, n_words, unit) of the distinct units of (__row, text)."""
+    # A column beside an exploded one is computed again for each unit; so the words are counted in a row of its own.
+    text = F.col("text")
+    once = rows.select(F.inline(F.array(F.struct("__row", F.size(words_of(text)).alias("n_words"), units_of(text).alias("units")))))
+    return once.select("__row", "n_words", F.explode("units").alias("unit"))
+
+
 def template_vectors(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """(template, licence, term, tf): as many rows as the templates have words."""
     rows = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, text string")
@@ -198,9 +206,8 @@ def scan_licences(files: DataFrame, least: float = LEAST_COSINE, share: float =
     heavy = heavy_terms(of_template)
     words = rows.select("__row", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
     met = rows.join(small(scratch.keep(reaching(words, "__row", heavy, least))), "__row", "left_semi")
-    each = met.select("__row", F.size(words_of(F.col("text"))).alias("n_words"), F.explode(units_of(F.col("text"))).alias("unit"))
     # Units may be as long as texts: they are known by their digests, and their words by a number.
-    each = scratch.keep(each.withColumn("digest", F.unhex(F.sha2("unit", 256))))
+    each = scratch.keep(unit_rows(met).withColumn("digest", F.unhex(F.sha2("unit", 256))))
     total = each.count()
     distinct = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
     distinct = scratch.keep(distinct.withColumn("uid", F.monotonically_increasing_id()))

@@ -329,6 +329,26 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     }
 
 
+def test_licences_count_the_words_of_a_text_once(spark, monkeypatch):
+    """Not again for each of its units: nothing above the explosion parts a text."""
+    keep, plans, counts = L.Scratch.keep, [], set()
+
+    def seen(self, df, *a):
+        out = keep(self, df, *a)
+        if "n_words" in df.columns:
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            counts.update((r["n_words"], r["unit"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(L.Scratch, "keep", seen)
+    notice = "Released under the MIT License"
+    rows = [("a", f"One two.\n{notice}. Four"), ("b", notice)]
+    assert {r["path"] for r in scan_licences(files(spark, rows)).collect()} == {"a", "b"}
+    assert len(plans) == 1 and "split(" not in plans[0].split("Generate")[0]
+    units = {f"One two.\n{notice}. Four", "One two.", "One two", f"{notice}. Four", notice, "Four"}
+    assert counts == {(8, u) for u in units} | {(5, notice)}
+
+
 def test_licences_awkward(spark, awkward):
     table = awkward.select(F.concat(F.lit("d/"), F.coalesce("doc_id", F.lit(99))).alias("path"), "text", *[c for c in awkward.columns if c not in ("text",)])
     assert scan_licences(table).count() == 11
