@@ -306,6 +306,29 @@ def test_alignment_inside_gaps():
     assert P.extend(a, a) == (5, [True] * 5) and P.extend(a, a[::-1] + 9) == (0, [])
 
 
+def test_windows_of_the_second_round_travel_as_masks(spark, docs, monkeypatch):
+    """A row for each document and lot of blocks, not for each block; the masks name the blocks again."""
+    rng = random.Random(5)
+    fill, shared = (lambda: prose(rng, 40, 10**6)), prose(rng, 60, 10**6)
+    texts = [fill() + shared[:40] + fill(), fill() + shared[20:] + fill(), fill() + shared + fill()]
+    keep, seen = P.Scratch.keep, []
+
+    def held(self, df, *x, **y):
+        out = keep(self, df, *x, **y)
+        if df.columns[:3] == ["a", "b", "parts"]:
+            seen.append(out.where("parts IS NULL").collect())
+        return out
+
+    monkeypatch.setattr(P.Scratch, "keep", held)
+    P.repeated_passages(docs([" ".join(t) for t in texts])).collect()
+    assert len(seen[0]) > 1 and len(seen[0]) == len({r["a"] for r in seen[0]}) <= 3
+    blocks = np.array([(1, 0), (1, 62), (1, 63), (1, 200), (7, 5)])
+    rows, lots, bits = P.masks(blocks)
+    assert list(zip(rows, lots, strict=True)) == [(1, 0), (1, 1), (1, 3), (7, 0)]
+    assert P.blocks_of(lots[:3], bits[:3]).tolist() == [0, 62, 63, 200] and P.blocks_of(lots[3:], bits[3:]).tolist() == [5]
+    assert all(len(x) == 0 for x in P.masks(np.empty((0, 2), np.int64)))
+
+
 # --- licences ------------------------------------------------------------------------------------------------
 
 
