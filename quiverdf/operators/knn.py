@@ -23,9 +23,9 @@ from quiverdf.operators.lineage import cut_lineage
 #: Numbers of query components that one block holds at most (32 MB of doubles).
 BLOCK_NUMBERS = 4_000_000
 #: Distances that a task holds at once, and numbers of a block of rows that meets others, at most.
-TILE, ROW_NUMBERS = 1_000_000, 131_072
-#: Blocks that a task holds to meet others (32 MB), and pairs of blocks that go to Python at once (8 MB).
-HELD_BLOCKS, BATCH_PAIRS = 32, 4
+TILE, ROW_NUMBERS = 1_000_000, 32_768
+#: Blocks that a task holds to meet others (32 MB), blocks that go to Python at once (1 MB), and tasks at least.
+HELD_BLOCKS, BATCH_BLOCKS, LOTS = 128, 4, 32
 
 
 def _exact(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -185,30 +185,45 @@ def packed(rows: DataFrame, most: int) -> DataFrame:
 def knn_all(points: DataFrame, k: int, metric: str = "dot") -> DataFrame:
     """(qid, rank, vec_id, dist) of the ``k`` nearest others of each of ``points`` (vec_id, embedding).
 
-    Blocks of points go to files once. A task lets a few blocks ask HELD_BLOCKS others, block by block, so the
-    driver sees no vector, and what is shuffled is points x k rows for each HELD_BLOCKS blocks."""
+    Blocks of points go to files once. A task holds HELD_BLOCKS of them at most and lets others ask, one at a time; no
+    row holds more than one block and none is sent twice to a task. The driver sees no vector, and what is shuffled is
+    the blocks for each group that asks or is held, and points x k rows for each group that is held."""
     rows = points.select("vec_id", doubles("embedding").alias("v")).where("v IS NOT NULL")
     n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     most = max(1, ROW_NUMBERS // max(1, dim or 1))
-    blocks = cut_lineage(packed(rows.repartition(max(1, -(-n // most))), most))
-    others = blocks.coalesce(max(1, -(-n // (most * HELD_BLOCKS)))).toDF("other_ids", "other_vectors")
+    count = max(1, -(-n // most))
+    blocks = cut_lineage(packed(rows.repartition(count), most))
+    held = min(count, max(4, -(-count // HELD_BLOCKS)))
+    asking = min(count, max(1, -(-max(LOTS, 2 * points.sparkSession.sparkContext.defaultParallelism) // held)))
+    # Lot i * held + j: group i of the blocks asks group j.
+    no = F.spark_partition_id()
+    meets = lambda n, lot, asks: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(lot(i).alias("lot"), F.lit(asks).alias("asks")))
+    both = F.concat(
+        meets(asking, lambda i: i * held + F.col("no") % held, False),
+        meets(held, lambda j: F.col("no") % asking * held + j, True),
+    )
+    lots = blocks.withColumn("no", no).select(F.explode(both).alias("m"), "ids", "vectors").select("m.lot", "m.asks", "ids", "vectors")
+    lots = lots.repartitionById(asking * held, F.col("lot")).sortWithinPartitions("asks")  # those that are held come first
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, asks = None, (b"", b"")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        others = None
         for b in batches:
-            for ids, vectors, other_ids, other_vectors in b.itertuples(index=False, name=None):
-                if best is None or (ids, vectors) != asks:
-                    if best is not None:
-                        yield best.table()
-                    asks, qids = (ids, vectors), np.frombuffer(ids, np.int64)
-                    best = Nearest(qids, np.frombuffer(vectors).reshape(len(qids), -1), k, metric, True)
-                i = np.frombuffer(other_ids, np.int64)
-                best.meet(i, np.frombuffer(other_vectors).reshape(len(i), -1))
-        if best is not None:
-            yield best.table()
-
-    pairs = blocks.crossJoin(others.hint("shuffle_replicate_nl"))  # a row for each pair of blocks
-    return cut_lineage(_ranked(pairs.mapInPandas(scan, "qid long, vec_id long, dist double"), k), BATCH_PAIRS)
+            for asks, ids, vectors in zip(b["asks"], b["ids"], b["vectors"], strict=True):
+                i = np.frombuffer(ids, np.int64)
+                x = np.frombuffer(vectors).reshape(len(i), -1)
+                if not asks:
+                    held.append((i, x))
+                    continue
+                if held:
+                    others, held = [np.concatenate(c) for c in zip(*held, strict=True)], []
+                if others is None:  # a group may have no rows
+                    continue
+                best = Nearest(i, x, k, metric, True)
+                best.meet(*others)
+                yield best.table()
+
+    return cut_lineage(_ranked(lots.mapInPandas(scan, "qid long, vec_id long, dist double"), k), BATCH_BLOCKS)
 
 
 def knn_expr(docs: DataFrame, queries: DataFrame, k: int, metric: str = "dot", score: bool = False) -> DataFrame:
