@@ -306,6 +306,41 @@ def test_alignment_inside_gaps():
     assert P.extend(a, a) == (5, [True] * 5) and P.extend(a, a[::-1] + 9) == (0, [])
 
 
+def test_words_are_coded_many_at_once(monkeypatch):
+    """The codes are those of ``word_codes``, which is asked for long words only."""
+    texts = ["", " ", "a", "a \ud800 b", "é漢字🎉 " * 5, "İstanbul \u3000 ǅ", "x\x00y \x1c z\x85w", *["q" * i + " ß" * (i % 3) for i in range(70)], " ".join(prose(random.Random(1), 2_000))]
+    want, code, asked = [J.word_codes(t) for t in texts], P.word_codes, []
+    monkeypatch.setattr(P, "word_codes", lambda text: (asked.append(len(text.encode())), code(text))[1])
+    for words in (3, P.WORDS):
+        monkeypatch.setattr(P, "WORDS", words)
+        assert all(np.array_equal(a, b) for a, b in zip(want, P.codes_of(texts), strict=True))
+    assert min(asked) > 31 and list(P.codes_of([])) == []
+
+
+def test_least_cost_alignments_are_those_of_the_whole_table():
+    """Equal last words, and texts without equal words, take no table, with the steps that it would give."""
+
+    def plain(a, b):
+        cost = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i, u in enumerate(a, 1):
+            for j, v in enumerate(b, 1):
+                cost[i, j] = min(cost[i - 1, j - 1] + (u != v), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+        steps, i, j = [], len(a), len(b)
+        while i or j:
+            if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
+                steps.append((1, 1, bool(a[i - 1] == b[j - 1])))
+            else:
+                steps.append((1, 0, False) if i and cost[i, j] == cost[i - 1, j] + 1 else (0, 1, False))
+            i, j = i - steps[-1][0], j - steps[-1][1]
+        return steps[::-1]
+
+    rng = np.random.default_rng(3)
+    for words in (2, 4, 12, 2_000) * 100:
+        a, b = (rng.integers(0, words, n).astype(np.uint32) for n in rng.integers(1, 14, 2))
+        if len(a) != len(b):
+            assert P.between(a, b) == plain(a, b)
+
+
 def test_windows_of_the_second_round_travel_as_masks(spark, docs, monkeypatch):
     """A row for each document and lot of blocks, not for each block; the masks name the blocks again."""
     rng = random.Random(5)
